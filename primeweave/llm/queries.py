@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, language_id, packing, token_counts
+from primeweave.llm import decontamination, language_id, packing, token_counts, toxicity
+from primeweave.llm.shared import fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.predict(docs, model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
