@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, language_id, packing, token_counts, toxicity
+from primeweave.llm import decontamination, language_id, ngram_join, packing, token_counts, toxicity
 from primeweave.llm.shared import fold
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = _table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(~out))
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@register
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
