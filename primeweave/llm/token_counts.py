@@ -2,7 +2,8 @@
 
 Merges never cross a place where a non-blank is followed by a blank or a line feed touches anything, as no piece of such a
 vocabulary spans one; a text is therefore a chain of chunks (blanks with the word after them, or a line feed), and the count
-at a prefix is the count at the chunk's start plus the count of the part of the chunk. Inside a chunk, dynamic programming
+at a prefix is the count at the chunk's start plus the count of the part of the chunk. Inside a chunk, cut further where no piece holds
+the two characters that meet, dynamic programming
 over prefixes finds the one last piece that a prefix's encoding ends with: the piece before it must be the last piece of the
 shorter prefix, and the two must be left apart by the encoder. Each chunk is solved once a worker; no text is re-encoded.
 
@@ -11,6 +12,9 @@ Null text: as empty. Empty text: 0 bytes, 0 tokens, an empty table. Every row gi
 
 from __future__ import annotations
 
+from array import array
+from operator import sub
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +37,9 @@ class PrefixSolver(dict):
         self.longest = max(map(len, self.pieces))
         if any("\n" in p or "▁" in p.lstrip("▁") for p in self.pieces):
             raise ValueError("pieces of this vocabulary span chunks")
+        self.tails = {p[k:] for p in self.pieces for k in range(len(p))}
+        self.inner = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
         self.lead = len(self.sp.encode("\n"))
         self.apart: dict[tuple[str, str], bool] = {}
 
@@ -49,34 +56,54 @@ class PrefixSolver(dict):
 
     def counts(self, chunk: str) -> list[int]:
         """Token counts of the chunk's prefixes, the empty one first; blanks are ▁."""
-        pieces, longest, split = self.pieces, self.longest, self.split
+        pieces, tails, apart, split = self.pieces, self.tails, self.apart, self.split
         count, last = [0], [None]
         for i in range(1, len(chunk) + 1):
-            c = chunk[i - 1]
-            if c not in pieces:  # bytes stand for it: it meets nothing
-                count.append(count[-1] + len(c.encode()))
-                last.append(None)
-                continue
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
+            for j in range(i - 1, -1, -1):
                 piece = chunk[j:i]
-                if piece in pieces and (last[j] is None or split(last[j], piece)):
-                    count.append(count[j] + 1)
-                    last.append(piece)
+                if piece not in tails:
+                    j = -1
                     break
+                if piece in pieces:
+                    before = last[j]
+                    if before is None:
+                        break
+                    pair = (before, piece)
+                    if apart[pair] if pair in apart else split(*pair):
+                        break
             else:
+                j = -1
+            if j >= 0:
+                count.append(count[j] + 1)
+                last.append(piece)
+            elif chunk[i - 1] in pieces:
                 raise AssertionError(f"no last piece for {chunk[:i]!r}")
+            else:  # bytes stand for this character: it meets nothing
+                count.append(count[-1] + len(chunk[i - 1].encode()))
+                last.append(None)
         return count
 
+    def part(self, part: str) -> bytes:
+        """The table of a part of a chunk across whose ends nothing merges."""
+        try:
+            return self.parts[part]
+        except KeyError:
+            out = array("b", map(sub, (count := self.counts(part))[1:], count)).tobytes()  # no step is beyond a byte
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            if len(part) < 100:
+                self.parts[part] = out
+            return out
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if chunk == "\n":
-            self[chunk] = b"\1"
-            return b"\1"
-        deltas = np.diff(np.array(self.counts(chunk), np.int64))
-        if len(deltas) and (deltas.min() < -128 or deltas.max() > 127):
-            raise OverflowError("a piece is too long for signed bytes")
-        out = deltas.astype(np.int8).tobytes()
+        inner, at, out = self.inner, 0, []
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in inner:
+                out.append(self.part(chunk[at:k]))
+                at = k
+        out = b"".join([*out, self.part(chunk[at:])])
         if len(chunk) < 100:
             self[chunk] = out
         return out
