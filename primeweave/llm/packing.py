@@ -38,7 +38,12 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].lower().isalpha() and word[-2] != "Σ":  # a mark after a letter is a token group of its own
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and not word.islower() and word != (low := word.lower()) and "<|" not in word:
+            ids = self[low]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
         if len(word) < 100:
             self[word] = ids
         return ids
