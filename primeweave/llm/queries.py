@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, language_id, ngram_join, packing, token_counts, toxicity
+from primeweave.llm import decontamination, embedding_dedup, language_id, ngram_join, packing, token_counts, toxicity
 from primeweave.llm.shared import fold
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
