@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, embedding_dedup, language_id, ngram_join, packing, token_counts, toxicity
-from primeweave.llm.shared import fold
+from primeweave.llm import decontamination, embedding_dedup, language_id, ngram_join, packing, token_counts, toxicity, warc
+from primeweave.llm.shared import Stages, fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Stages(spark).path("archives")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).withColumnRenamed("id", "page_id")
+
+
+def _base32_sql(hex_column: str) -> str:
+    letters = [f"substr('{warc.BASE32}', ((('0x' || substr({hex_column}, {5 * k + 1}, 5))::int >> {s}) & 31) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+ORACLES["op7_warc"] = f"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+     d as (select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as h from p),
+     f as (select h, min(page_id) as first_id from d group by h)
+select page_id, payload_bytes, {_base32_sql("d.h")} as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from d join f using (h)"""
