@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, embedding_dedup, language_id, ngram_join, packing, token_counts, toxicity, warc
+from primeweave.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, token_counts, toxicity, warc
 from primeweave.llm.shared import Stages, fold
 
 QUERIES: dict = {}
@@ -84,3 +84,8 @@ select page_id, payload_bytes, {_base32_sql("d.h")} as payload_digest,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
        case when page_id = first_id then null else first_id end as refers_to
 from d join f using (h)"""
+
+
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
