@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, token_counts, toxicity, warc
+from primeweave.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
 from primeweave.llm.shared import Stages, fold
 
 QUERIES: dict = {}
@@ -89,3 +89,8 @@ from d join f using (h)"""
 @register
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
