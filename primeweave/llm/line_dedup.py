@@ -21,13 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from primeweave.llm.shared import Stages
+from primeweave.llm.shared import Stages, small
 
 SIMILAR = 0.75
 SHINGLE = 5
 SKETCH = 1 << 16
-#: Rows of a table that is broadcast at most; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,12 +52,6 @@ def _least(n: Column) -> Column:
     return F.ceil(n * SIMILAR - 1e-9).cast("int")
 
 
-def _small(df: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """Staged; marked for broadcast where its rows are few enough."""
-    df = stages.put(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _classes(lines: DataFrame) -> bytearray:
     counted = lines.select(F.explode(_tokens()).alias("t")).groupBy(F.pmod("t", F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
     out = bytearray(SKETCH)
@@ -90,7 +82,7 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key) of the pairs that match."""
-    wanted = _small(pairs.select(F.explode(F.array("key", "before")).alias("key")).distinct(), stages, "wanted")
+    wanted = small(pairs.select(F.explode(F.array("key", "before")).alias("key")).distinct(), stages, "wanted")
     own = lines.join(wanted, "key").groupBy("key").agg(F.first("words").alias("words")).select("key", F.array_distinct(_tokens()).alias("tokens"))
     own = stages.put(own, "tokens")
     a, b = own.select("key", F.col("tokens").alias("ta")), own.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
@@ -122,7 +114,7 @@ def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, their text without the removed lines, and n_lines, n_removed (null text: 0, 0)."""
     stages = Stages(docs.sparkSession)
-    gone = _small(removed_lines(stages, _rows(docs, id_col, text_col)), stages, "removed")
+    gone = small(removed_lines(stages, _rows(docs, id_col, text_col)), stages, "removed")
     own = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from primeweave.llm.shared import Stages, fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 
 def register(f):

@@ -57,6 +57,16 @@ class Stages:
                 return
 
 
+#: Rows of a narrow table that is broadcast at most; beyond, it is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """Staged; marked for broadcast where its rows are few enough."""
+    df = stages.put(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold(id_col: str, mod: int):
     """crc32 of the id as text, mod the number of folds."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(mod)
