@@ -1 +1 @@
-"""Prime-set analytics on Spark."""
+"""Column functions: exact arithmetic, number theory, bit lengths."""
