@@ -77,6 +77,9 @@ def inverse(a: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([inverse_mod(int(x), int(y)) for x, y in zip(a, m, strict=True)], dtype="Int64")
 
 
+inverse = inverse.asNondeterministic()  # kept out of lambdas, where it can't run
+
+
 def product(items: Column) -> Column:
     """Of an array; null where it passes 38 digits."""
     return F.aggregate(items, F.lit(1).cast(WIDE), lambda acc, x: F.try_multiply(acc, wide(x)).cast(WIDE))

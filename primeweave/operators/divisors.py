@@ -63,6 +63,9 @@ def choose_dmin(n: pd.Series, factors: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"d": pd.Series([r[0] if r else None for r in rows], dtype="Int64"), "lam": pd.Series([r[1] if r else None for r in rows], dtype="Int64"), "tier": pd.Series([0 if r else None for r in rows], dtype="Int32")})
 
 
+choose_dmin = choose_dmin.asNondeterministic()  # one call a row: the optimizer would copy it into lambdas, where it can't run
+
+
 def choose_dmin_native(n: Column, factors: Column) -> Column:
     """The same choice from all subsets, in the JVM."""
     valid = F.filter(subsets(factors), lambda s: s.lam > F.floor(n / s.d))
@@ -103,7 +106,7 @@ def record_faults(n: Column, factors: Column, most: int = 10**24, factor_most: i
     lam = arith.carmichael_lambda(factors)
     return F.array_compact(
         F.array(
-            rule("range", n >= F.lit(most).cast(arith.WIDE)),
+            rule("range", n >= F.lit(str(most)).cast(arith.WIDE)),
             rule("factor_range", F.exists(factors, lambda p: (p < 3) | (p >= factor_most))),
             rule("ascending", ~arith.strictly_ascending(factors)),
             rule("size", ~F.size(factors).between(3, 14)),

@@ -71,7 +71,7 @@ def products(child_rows: DataFrame, order: DataFrame, most_bits: int = 81) -> Da
     """(prefix, pbits): bit length, at most 81, of the product of the items on the path; 1 for the root."""
     own = child_rows.select("prefix", F.explode_outer("prefix").alias("rank")).join(order.select("rank", "item"), "rank", "left")
     own = own.groupBy("prefix").agg(F.collect_list("item").alias("items"))
-    top = F.lit(1 << most_bits).cast(arith.WIDE)
+    top = F.lit(str(1 << most_bits)).cast(arith.WIDE)
     value = F.aggregate("items", F.lit(1).cast(arith.WIDE), lambda acc, x: F.least((acc * x.cast("decimal(18,0)")).cast(arith.WIDE), top))
     return own.select("prefix", F.least(arith.bits_wide(value), F.lit(most_bits)).cast("int").alias("pbits"))
 
