@@ -1 +1 @@
-"""Prime-set analytics on Spark."""
+"""Codecs, containers, Spark data sources and sinks."""
