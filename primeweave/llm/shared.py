@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -40,8 +41,10 @@ class Stages:
         return self.paths[-1]
 
     def put(self, df: DataFrame, name: str = "stage") -> DataFrame:
-        path = self.path(name)
+        path, began = self.path(name), time.monotonic()
         df.write.parquet(path)
+        if time.monotonic() - began > 2:
+            self.spark._jvm.System.gc()  # what nothing refers to any more, shuffle files of finished jobs among it, is cleaned now
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out
