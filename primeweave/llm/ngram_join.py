@@ -12,8 +12,8 @@ sets order their shingles alike, rare before frequent. With e' misses left after
 
 Of two linked sets, the one whose prefix ends first has these shared shingles within the other's prefix: no link is lost. The
 sets that share a signature are verified exactly. To find components it isn't needed to emit all pairs of a group: rounds of
-stars (each signature's sets against one pivot, another in each round) connect most of it; then the pairs of sets that share a
-signature but lie in different components yet are verified, all of them.
+stars (each signature's sets against one pivot, another in each round) connect most of it; then, of components that share a
+signature, all sets are held against each other in blocks that only give links.
 
 Hashes have 64 bits for sets and set sizes and 48 for shingles in the join.
 
@@ -34,6 +34,8 @@ from primeweave.llm.shingles import mix, shingle_sets
 NUM, DEN = 75, 100
 FREQUENT = 16
 STARS = 3
+#: Sets of either side of a block; components of a signature beyond which it makes a family.
+BLOCK, DENSE = 512, 24
 _FREQ_BIT = np.int64(1 << 62)
 _HOT = 0xFFFF
 
@@ -112,7 +114,7 @@ def _postings(buckets: int):
                     if sid not in sets:
                         sets[sid] = s
                         held += len(s)
-                        if held > 3_000_000 or len(sets) >= 60_000:
+                        if held > 1_000_000 or len(sets) >= 60_000:
                             yield flush(sets)
                             sets, held = {}, 0
         if sets:
@@ -216,19 +218,24 @@ def _signed(batches):
 
 def _verified(batches):
     for batch in batches:
-        keep = []
-        for k, (na, nb, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ta", "tb")), strict=True)):
-            a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if DEN * both >= NUM * (na + nb - both):
-                keep.append(k)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        linked = []
+        for na, nb, a, b in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ta", "tb")), strict=True):
+            both = len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
+            linked.append(DEN * both >= NUM * (na + nb - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked)"""
     a = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified, "a long, b long, linked boolean")
+
+
+def _pivots(signed: DataFrame, star: int) -> DataFrame:
+    """(sig, p, pn): a set of each signature; another one, mostly, for another star."""
+    lot = F.struct(F.xxhash64("sid", F.lit(star)).alias("h"), "sid", "n")
+    return signed.groupBy("sig").agg(F.min(lot).alias("p")).select("sig", F.col("p.sid").alias("p"), F.col("p.n").alias("pn"))
 
 
 def _fits(a: str, b: str):
@@ -238,7 +245,7 @@ def _fits(a: str, b: str):
 def set_components(stages: Stages, docs: DataFrame) -> DataFrame:
     """(sid, component) of the sets that link with another one; docs(text)."""
     spark = stages.spark
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = docs.mapInArrow(_postings(buckets), "bucket int, tokens binary, at binary, sids binary, sizes binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_tokens, "sid long, n long, tokens binary")
     sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("lists"))
@@ -246,26 +253,97 @@ def set_components(stages: Stages, docs: DataFrame) -> DataFrame:
     signed = sets.mapInArrow(_signed, "sig long, sid long, n long")
     many = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     signed = stages.put(signed.join(many, "sig"), "signed")
-    links, comp, tried = None, None, None
+    tried = None
     for star in range(STARS):
-        lot = F.struct(F.xxhash64("sid", F.lit(star)).alias("h"), "sid", "n")
-        pivot = signed.groupBy("sig").agg(F.min(lot).alias("p")).select("sig", F.col("p.sid").alias("p"), F.col("p.n").alias("pn"))
-        pairs = signed.join(pivot, "sig").where((F.col("sid") != F.col("p")) & _fits("n", "pn"))
+        pairs = signed.join(_pivots(signed, star), "sig").where((F.col("sid") != F.col("p")) & _fits("n", "pn"))
         pairs = pairs.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
-        if comp is not None:
-            pairs = _apart(pairs, comp).join(tried, ["a", "b"], "left_anti")
-        pairs = stages.put(pairs.select("a", "b"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = stages.put(_verify(pairs, sets), "links")
-        links = found if links is None else links.union(found)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        verified = stages.put(_verify(pairs, sets), "verified")
+        tried = verified if tried is None else tried.union(verified)
+        links = tried.where("linked").select("a", "b")
         comp = stages.put(components(stages, links), "components")
         signed = stages.put(_mixed(signed, comp), "signed")
         if signed.isEmpty():
             return comp
-    x, y = (signed.select("sig", F.col("sid").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = x.join(y, "sig").where((F.col("a") < F.col("b")) & _fits("na", "nb")).select("a", "b").distinct()
-    pairs = stages.put(_apart(pairs, comp).join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    return stages.put(components(stages, links.union(_verify(pairs, sets))), "components")
+    rest = _across(stages, _labelled(signed, comp, "sid", "c"), sets)
+    return stages.put(components(stages, links.union(rest)), "components")
+
+
+def _across(stages: Stages, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between components that share a signature; rows(sig, sid, n, c).
+
+    Signatures of few components give their pairs of components, of which the smaller one's sets are held against all of the
+    other's. Signatures of more than DENSE are families: the components they join, one with another, are held against each
+    other whole. Both go in blocks against blocks; a block pair is one small product of token lists, and only the links that
+    join something come out of it.
+    """
+    rows = stages.put(rows, "rows")
+    members = rows.groupBy("sid").agg(F.first("c").alias("c")).join(sets, "sid").select("c", "sid", "n", "tokens")
+    members = stages.put(members, "members")
+    size = members.groupBy("c").agg(F.count("*").alias("size"))
+    # signatures with the same components say the same: one of each is enough
+    present = rows.groupBy("sig", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    same = present.groupBy("sig").agg(F.count("*").alias("k"), F.sum(F.xxhash64("c").bitwiseAND((1 << 40) - 1)).alias("s"), F.bit_xor(F.xxhash64("lo", "hi", "c")).alias("x"))
+    one = same.groupBy("k", "s", "x").agg(F.min("sig").alias("sig")).select("sig", "k")
+    present = stages.put(present.join(one, "sig"), "present")
+    few, dense = present.where(F.col("k") <= DENSE), present.where(F.col("k") > DENSE)
+    x, y = (few.select("sig", *(F.col(k).alias(f"{k}{side}") for k in ("c", "lo", "hi"))) for side in "ab")
+    able = (F.col("hia") * DEN >= F.col("lob") * NUM) & (F.col("hib") * DEN >= F.col("loa") * NUM)
+    meet = stages.put(x.join(y, "sig").where((F.col("ca") < F.col("cb")) & able).select("ca", "cb").distinct(), "meet")
+    meet = meet.join(size.select(F.col("c").alias("ca"), F.col("size").alias("sa")), "ca").join(size.select(F.col("c").alias("cb"), F.col("size").alias("sb")), "cb")
+    first = F.col("sa") >= F.col("sb")
+    meet = stages.put(meet.select(F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("c")), "meet")
+    outer = meet.join(members, "c").select("big", "c", "sid", "n", "tokens").withColumn("side", F.lit(0))
+    inner = meet.select(F.col("big").alias("c")).distinct().join(members, "c").select(F.col("c").alias("big"), "c", "sid", "n", "tokens").withColumn("side", F.lit(1))
+    blocks = outer.select("big", "side").union(inner.select("big", "side")).groupBy("big").agg(*(F.ceil(F.count(F.when(F.col("side") == k, 1)) / BLOCK).cast("int").alias(f"b{k}") for k in (0, 1)))
+    dealt = outer.unionByName(inner).join(blocks, "big")
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1)))
+    dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
+    pairs = dealt.select("big", "i", "j", "side", "c", "sid", "n", "tokens")
+    family = components(stages, dense.join(dense.groupBy("sig").agg(F.min("c").alias("least")), "sig").select(F.col("c").alias("a"), F.col("least").alias("b")))
+    whole = family.select(F.col("id").alias("c"), F.col("component").alias("big")).join(members, "c")
+    blocks = whole.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
+    whole = whole.join(blocks, "big").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("b")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    whole = whole.select("big", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "c", "sid", "n", "tokens")
+    return stages.put(pairs.groupBy("big", "i", "j").applyInArrow(_block_links, "a long, b long").union(whole.groupBy("big", "i", "j").applyInArrow(_block_links, "a long, b long")), "links")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links that join components, between a block pair's sides 0 and 1, or among side 2."""
+    side, comp, sid, n = (table.column(c).to_numpy() for c in ("side", "c", "sid", "n"))
+    lists = [np.frombuffer(t, np.int64) for t in table.column("tokens").to_pylist()]
+    inner, outer = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    a, b = [], []
+    if len(inner) and len(outer):
+        size = np.array([len(lists[k]) for k in inner])
+        tokens, ids = np.unique(np.concatenate([lists[k] for k in inner]), return_inverse=True)
+        begin = np.cumsum(size) - size
+        has = np.zeros(len(tokens), np.int32)
+        for k in outer:
+            if not ((DEN * n[inner] >= NUM * n[k]) & (DEN * n[k] >= NUM * n[inner])).any():
+                continue
+            at = np.searchsorted(tokens, lists[k])
+            at = at[tokens[np.minimum(at, len(tokens) - 1)] == lists[k]]
+            has[at] = 1
+            both = np.add.reduceat(has[ids], begin)
+            has[at] = 0
+            for h in np.flatnonzero((DEN * both >= NUM * (n[k] + n[inner] - both)) & (comp[inner] != comp[k])):
+                x, y = top(int(comp[k])), top(int(comp[inner[h]]))
+                if x != y:
+                    root[x] = y
+                    a.append(int(sid[k]))
+                    b.append(int(sid[inner[h]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _labelled(df: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
@@ -273,10 +351,6 @@ def _labelled(df: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(own, col, "left").withColumn(name, F.coalesce(name, col))
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    return _labelled(_labelled(pairs, comp, "a", "_ca"), comp, "b", "_cb").where("_ca <> _cb")
-
-
 def _mixed(signed: DataFrame, comp: DataFrame) -> DataFrame:
     """Signatures whose sets lie in several components yet."""
     own = _labelled(signed, comp, "sid", "_c")
@@ -285,7 +359,7 @@ def _mixed(signed: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row; ids are whole numbers."""
+    """(id, n_shingles, component_id), a row for each row; ids are anything that has an order."""
     stages = Stages(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     each = stages.put(rows.mapInArrow(_summaries, f"id {dict(rows.dtypes)['id']}, n long, sid long"), "each")
