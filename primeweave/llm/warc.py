@@ -2,7 +2,8 @@
 
 Writing: one record a page; of equal payloads of at least `least` bytes the one of the smallest id is the response, the others
 are revisit records that refer to it. Records are UTF-8 text, so Spark's text writer lays down the archive with the record end
-as line separator, through any file system and its commit protocol. Archive files hold a bounded number of records.
+as line separator, through any file system and its commit protocol. Archive files are gzip members of a bounded number of records; plain ones are read
+too, and offsets are those of the plain bytes.
 
 Reading: each task takes whole archives and lists every place where a record could begin (the version line, wherever it stands,
 payloads included) with the offset of the record after it by its Content-Length. Pointer jumping from offset 0 keeps what is
@@ -15,6 +16,7 @@ of the smallest id's equal rows each is a response. An empty table writes an arc
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -68,8 +70,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str | None = "ur
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
-    """Archives *.txt under path, RECORDS_A_FILE records at most in each."""
-    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Compressed archives under path, RECORDS_A_FILE records at most in each."""
+    records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, bytes]]]:
@@ -120,6 +122,7 @@ def _parsed(batches):
     for batch in batches:
         for content in batch.column("content"):
             content = content.as_py()
+            content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
             start, block, after, fields = candidates(content)
             rows = []
             for k in np.flatnonzero(reachable(start, after, len(content))):
