@@ -76,10 +76,10 @@ def lookup(values: DataFrame, key: str, asked: DataFrame, query: str) -> DataFra
     """
     own = values.select(F.col(key).alias("v")).distinct().withColumn("asked", F.lit(0))
     q = asked.select(F.col(query).alias("v")).distinct().withColumn("asked", F.lit(1))
-    rows = ranked(own.union(q).withColumn("_k", F.col("v")), "_k", F.col("asked").asc(), name="at")
-    part = rows.withColumn("_range", ranges(rows, "_k"))
-    up = Window.partitionBy("_range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("_range").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    rows = own.union(q)
+    part = rows.withColumn("_range", ranges(rows, "v"))
+    up = Window.partitionBy("_range").orderBy("v", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_range").orderBy(F.desc("v"), F.desc("asked")).rowsBetween(Window.unboundedPreceding, 0)
     mine = F.when(F.col("asked") == 0, F.col("v"))
     marks = part.groupBy("_range").agg(F.max(mine).alias("hi"), F.min(mine).alias("lo"), F.count(mine).alias("n"))
     before, after = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)

@@ -26,9 +26,12 @@ def item_counts(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode("path").alias("item")).groupBy("item").agg(F.count("*").alias("cnt"))
 
 
-def item_order(paths: DataFrame) -> DataFrame:
-    """(item, cnt, rank, class_id, class_size, value_index): ranks from 1; classes are runs of equal counts; value_index by item."""
-    order = ranked(item_counts(paths), "cnt", F.col("item").desc(), name="rank", descending=True).withColumn("rank", F.col("rank") + 1)
+def item_order(counts: DataFrame) -> DataFrame:
+    """(item, cnt, rank, class_id, class_size, value_index): ranks from 1; classes are runs of equal counts; value_index by item.
+
+    The counts are read by several jobs: persist them.
+    """
+    order = ranked(counts, "cnt", F.col("item").desc(), name="rank", descending=True).withColumn("rank", F.col("rank") + 1)
     classes = order.groupBy("cnt").agg(F.count("*").alias("class_size"))
     classes = ranked(classes, "cnt", name="class_id", descending=True).withColumn("class_id", F.col("class_id") + 1)
     order = order.join(classes, "cnt")

@@ -38,10 +38,10 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Order, ranked paths, nodes with their children's figures."""
-    p = paths(spark, sf_dir)
-    order = tree.item_order(p)
-    ranks = tree.ranked_paths(p, order)
-    return order, ranks, tree.children(tree.nodes(ranks))
+    p = paths(spark, sf_dir).persist()  # each is read by several jobs
+    order = tree.item_order(tree.item_counts(p).persist()).persist()
+    ranks = tree.ranked_paths(p, order).persist()
+    return order, ranks, tree.children(tree.nodes(ranks)).persist()
 
 
 def _joined(c: str):
@@ -55,22 +55,22 @@ def _(spark, d):
 
 @query("item_order", ORDER_SQL + " select item, cnt, rank from o")
 def _(spark, d):
-    return tree.item_order(paths(spark, d)).select("item", "cnt", "rank")
+    return tree.item_order(tree.item_counts(paths(spark, d)).persist()).select("item", "cnt", "rank")
 
 
 @query("count_classes", ORDER_SQL + " select class_id, cnt, class_size from cl")
 def _(spark, d):
-    return tree.item_order(paths(spark, d)).select("class_id", "cnt", "class_size").distinct()
+    return tree.item_order(tree.item_counts(paths(spark, d)).persist()).select("class_id", "cnt", "class_size").distinct()
 
 
 @query("value_index", ORDER_SQL + " select item, value_index from o")
 def _(spark, d):
-    return tree.item_order(paths(spark, d)).select("item", "value_index")
+    return tree.item_order(tree.item_counts(paths(spark, d)).persist()).select("item", "value_index")
 
 
 @query("top_items", ORDER_SQL + " select item, cnt, rank from o where rank <= 10")
 def _(spark, d):
-    return tree.item_order(paths(spark, d)).select("item", "cnt", "rank").orderBy("rank").limit(10)  # a top-k report
+    return tree.item_order(tree.item_counts(paths(spark, d)).persist()).select("item", "cnt", "rank").orderBy("rank").limit(10)  # a top-k report
 
 
 @query("path_length_hist", PATH_SQL + " select len(path)::int as length, count(*) as cnt from p group by 1")
@@ -122,7 +122,7 @@ def _(spark, d):
 
 @query("table_gaps", ORDER_SQL + " select class_id, item, value_index - 1 as position, value_index - 1 - coalesce(lag(value_index - 1) over (partition by class_id order by value_index), -1) as gap from o")
 def _(spark, d):
-    return tree.table_gaps(tree.item_order(paths(spark, d)))
+    return tree.table_gaps(tree.item_order(tree.item_counts(paths(spark, d)).persist()))
 
 
 SET1_SQL = ORDER_SQL + f""", k as (select max(depth) as k from ch),
