@@ -1,6 +1,6 @@
 """Quality by perplexity under interpolated modified Kneser-Ney models of trusted text, a model for each language.
 
-The n-grams are of bytes (A-Z lowered, line ends as blanks), ORDER of them. All trusted documents are counted; counts,
+The n-grams are of bytes (A-Z lowered, line ends as blanks), ORDER of them. Trusted documents are counted whole; counts,
 continuation counts, context sums and discounts are tables sharded by (language, n-gram) and joined on them, so no table of
 counts is ever in one place. Each order's table holds the interpolated log probability of the n-grams seen, and the weight of
 the order below for each context; an unseen n-gram takes its context's weight and the order below. Texts of a language without
@@ -9,7 +9,8 @@ a model, or of null language, are scored by a pooled model ("*").
 Scoring reads the finished tables as a hashed array in each worker while they have MODEL_ROWS rows at most (their number is
 checked); beyond, the n-grams of the documents are joined with the sharded tables instead. Both give the same perplexities.
 
-A document is kept if its perplexity lies between two quantiles of the trusted documents' perplexities of its language.
+A fifth of the trusted documents, by a hash of the id, isn't counted but scored as any unseen text; a document is kept if its
+perplexity lies between two quantiles of theirs in its language, widened by SLACK.
 
 Null and empty text: perplexity null, not kept. Without trusted documents every perplexity is 256 and nothing is kept. Labels
 that repeat count once. Every row gives a row; ids may repeat.
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from primeweave.llm.shared import Stages
+from primeweave.llm.shared import Stages, small
 
 ORDER = 5
 MODEL_ROWS = 6_000_000
-LOW, HIGH = 0.002, 0.99
+LOW, HIGH, SLACK = 0.002, 0.99, 1.2
 POOLED = "*"
 _PAD = b" " * (ORDER - 1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
@@ -127,13 +128,14 @@ class Lookup:
 
     @classmethod
     def build(cls, langs: list[str], key: np.ndarray, value: np.ndarray) -> Lookup:
-        size = 1 << max(4, int(2 * len(key)).bit_length())
+        size = 1 << max(4, int(1.35 * len(key)).bit_length())
         keys, values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
         at, left, steps = cls.slot(key, size - 1), np.arange(len(key)), 0
         while len(left):
             free = left[keys[at[left]] == 0]
-            own, first = np.unique(at[free], return_index=True)
-            keys[own], values[own] = key[free[first]], value[free[first]]
+            keys[at[free]] = key[free]  # of those that want one slot the last one written has it
+            won = free[keys[at[free]] == key[free]]
+            values[at[won]] = value[won]
             left = left[keys[at[left]] != key[left]]
             at[left] = (at[left] + 1) & (size - 1)
             steps += 1
@@ -171,7 +173,7 @@ class Lookup:
 
 def _scored(shared):
     def run(batches):
-        model = shared.value
+        model = _lookup(shared)
         for batch in batches:
             langs, sums, size = batch.column("lang").to_pylist(), [], []
             for first, texts in _parts(batch):
@@ -227,25 +229,46 @@ def perplexities(stages: Stages, docs: DataFrame, trusted: DataFrame, most: int
     rows = table.count()
     if rows > most:
         return _joined(docs, table)
-    got = table.toPandas()  # most rows at most
-    langs = sorted(got["lang"].unique())
-    kind, gram, lang = got["kind"].to_numpy(np.int64), got["gram"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), got["lang"].to_numpy(object))
-    key = ((gram.astype(np.uint64) << np.uint64(4)) | (kind + ORDER).astype(np.uint64)) * np.uint64(2) + np.uint64(1) | (lang + 1).astype(np.uint64) << np.uint64(46)
-    shared = stages.spark.sparkContext.broadcast(Lookup.build(langs, key, got["v"].to_numpy(np.float32)))
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    number = F.element_at(F.create_map(*(F.lit(x) for k, x in enumerate(langs) for x in (x, k))), F.col("lang")) if langs else F.lit(0)
+    parts = table.select(number.cast("int").alias("lang"), "kind", "gram", F.col("v").cast("float")).mapInArrow(_entries, "keys binary, logs binary")
+    got = [(bytes(r["keys"]), bytes(r["logs"])) for r in parts.toLocalIterator()]  # 12 bytes a row
+    shared = stages.spark.sparkContext.broadcast((langs, got))
     return docs.mapInArrow(_scored(shared), f"id {dict(docs.dtypes)['id']}, lang string, perplexity double")
 
 
+def _entries(batches):
+    for batch in batches:
+        lang, kind, gram = (batch.column(c).to_numpy() for c in ("lang", "kind", "gram"))
+        key = ((gram.astype(np.uint64) << np.uint64(4)) | (kind + ORDER).astype(np.uint64)) * np.uint64(2) + np.uint64(1) | (lang + 1).astype(np.uint64) << np.uint64(46)
+        yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()]), pa.array([batch.column("v").to_numpy().tobytes()])], ["keys", "logs"])
+
+
+def _lookup(shared) -> Lookup:
+    """Built once a worker."""
+    if getattr(shared, "_lookup", None) is None:
+        langs, parts = shared.value
+        join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
+        keys, values = join(0, np.uint64), join(1, np.float32)
+        del parts, shared._value  # the worker keeps the array only; the broadcast can be loaded again from its file
+        shared._lookup = Lookup.build(langs, keys, values)
+    return shared._lookup
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", most: int = MODEL_ROWS) -> DataFrame:
     """(id, lang, perplexity, low, high, kept), a row for each row; trusted documents are those labelled 1."""
     stages = Stages(docs.sparkSession)
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
+    good = small(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct(), stages, "trusted")
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    trusted = rows.join(good, "id", "left_semi").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").where("lang <> '*' and text is not null")
+    aside = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0
+    trusted = rows.join(good.where(~aside), "id", "left_semi").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").where("lang <> '*' and text is not null")
     scored = stages.put(perplexities(stages, rows, trusted, most), "scored")
-    span = scored.join(good, "id", "left_semi").where("perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", [LOW, HIGH], 10000).alias("q"))
-    every = scored.join(good, "id", "left_semi").where("perplexity is not null").agg(F.percentile_approx("perplexity", [LOW, HIGH], 10000).alias("all"))
-    span = span.select(F.col("lang").alias("l"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    whole = every.first()["all"] or [None, None]
+    unseen = scored.join(good.where(aside), "id", "left_semi").where("perplexity is not null")
+    span = unseen.groupBy("lang").agg(F.percentile_approx("perplexity", [LOW, HIGH], 10000).alias("q"))
+    every = unseen.agg(F.percentile_approx("perplexity", [LOW, HIGH], 10000).alias("all"))
+    span = span.select(F.col("lang").alias("l"), (F.col("q")[0] / SLACK).alias("lo"), (F.col("q")[1] * SLACK).alias("hi"))
+    whole = every.first()["all"]
+    whole = [whole[0] / SLACK, whole[1] * SLACK] if whole else [None, None]
     out = scored.join(F.broadcast(span), F.col("lang").eqNullSafe(F.col("l")), "left")  # a row a language
     out = out.select(F.col("id").alias(id_col), "lang", "perplexity", F.coalesce("lo", F.lit(whole[0]).cast("double")).alias("low"), F.coalesce("hi", F.lit(whole[1]).cast("double")).alias("high"))
     return out.withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
