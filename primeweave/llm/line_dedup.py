@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from primeweave.llm.shared import Stages, small
+from primeweave.llm.shared import BROADCAST_ROWS, Stages, small
 
 SIMILAR = 0.75
 SHINGLE = 5
@@ -71,19 +71,31 @@ def _ordered(classes: bytearray) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_tokens(), keyed)))
 
 
-def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(key, before): lines of x and earlier ones of y that share a prefix token and pass the length and positional filters."""
+def _prefix(n: Column) -> Column:
+    return n - _least(n) + 1
+
+
+def _pairs(x: DataFrame, y: DataFrame, whole: bool) -> DataFrame:
+    """(key, before): lines of x and earlier ones of y that share a prefix token and pass the length and positional filters.
+
+    Where y holds whole prefixes, the shared tokens are counted too: all that the line whose prefix ends first shares beyond
+    them lies behind its prefix.
+    """
     y = y.select("token", *(F.col(c).alias(f"{c}2") for c in ("key", "at", "n", "place")))
-    lengths = (F.col("n") >= SIMILAR * F.col("n2")) & (F.col("n2") >= SIMILAR * F.col("n"))
-    reach = F.least("place", "place2") + 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) - 1
-    enough = reach >= F.ceil((F.col("n") + F.col("n2")) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
-    return x.join(y, "token").where((F.col("at2") < F.col("at")) & lengths & enough).select("key", F.col("key2").alias("before")).distinct()
+    n, m = F.col("n"), F.col("n2")
+    overlap = F.ceil((n + m) * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+    reach = F.least("place", "place2") + F.least(n - F.col("place"), m - F.col("place2"))
+    pairs = x.join(y, "token").where((F.col("at2") < F.col("at")) & (n >= SIMILAR * m) & (m >= SIMILAR * n) & (reach >= overlap))
+    pairs = pairs.groupBy("key", F.col("key2").alias("before"), "n", "n2").agg(F.count("*").alias("shared"))
+    if whole:
+        pairs = pairs.where(F.col("shared") + F.greatest(n - _prefix(n), m - _prefix(m)) >= overlap)
+    return pairs.select("key", "before")
 
 
 def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key) of the pairs that match."""
     wanted = small(pairs.select(F.explode(F.array("key", "before")).alias("key")).distinct(), stages, "wanted")
-    own = lines.join(wanted, "key").groupBy("key").agg(F.first("words").alias("words")).select("key", F.array_distinct(_tokens()).alias("tokens"))
+    own = lines.join(wanted, "key").select("key", F.array_distinct(_tokens()).alias("tokens"))
     own = stages.put(own, "tokens")
     a, b = own.select("key", F.col("tokens").alias("ta")), own.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -95,28 +107,31 @@ def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
     lines = stages.put(_lines(rows), "lines")
     at = F.struct("id", "row", "line")
     first = stages.put(lines.groupBy("key").agg(F.min(at).alias("at"), F.max(at).alias("last")), "first")
-    tokens = lines.select("key", _ordered(_classes(lines)).alias("t"))
+    copies = first.where("at <> last").select("key", F.col("at").alias("first"))
+    again = stages.put(lines.select("key", at.alias("own")).join(copies, "key").where("own <> first").select("own.row", "own.line"), "again")
+    once = lines.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, ["row", "line"], "left_anti")
+    tokens = once.select("key", _ordered(_classes(once)).alias("t"))
     tokens = tokens.select("key", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, F.size("t") - _least(F.size("t")) + 1)).alias("place", "token"))
     by = Window.partitionBy("token")
-    tokens = tokens.withColumn("lo", F.min("key").over(by)).withColumn("hi", F.max("key").over(by)).where("lo <> hi")
-    tokens = stages.put(tokens.groupBy("token", "key", "n", "place").agg(F.lit(1).alias("one")).join(first, "key").select("token", "key", "n", "place", "at"), "shared")
+    tokens = tokens.select("token", "key", (F.col("n").cast("long") * (1 << 32) + F.col("place")).alias("np")).withColumn("others", F.count("*").over(by)).where("others > 1")
+    tokens = tokens.select("token", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
+    tokens = stages.put(tokens.join(first.select("key", "at"), "key"), "shared")
     earliest = tokens.groupBy("token").agg(F.min(F.struct("at", "key", "n", "place")).alias("e")).select("token", "e.*")
-    star = stages.put(_pairs(tokens, earliest), "pairs")
-    gone = stages.put(_matched(stages, star, lines), "gone")
-    rest = _pairs(tokens.join(gone, "key", "left_anti"), tokens).join(star, ["key", "before"], "left_anti")
-    gone = stages.put(gone.union(_matched(stages, stages.put(rest.select("key", "before"), "pairs"), lines)), "gone")
-    copies = first.where("at <> last").select("key", "at")
-    later = lines.select("key", at.alias("own"))
-    later = later.join(copies, "key").where("own <> at").select("own").union(first.join(gone, "key").select("at"))
-    return later.groupBy(F.col("own.row").alias("row")).agg(F.array_sort(F.collect_set("own.line")).alias("gone"))
+    star = stages.put(_pairs(tokens, earliest, whole=False), "pairs")
+    gone = stages.put(_matched(stages, star, once), "gone")
+    rest = _pairs(tokens.join(gone, "key", "left_anti"), tokens, whole=True).join(star, ["key", "before"], "left_anti")
+    gone = stages.put(gone.union(_matched(stages, stages.put(rest.select("key", "before"), "pairs"), once)), "gone")
+    later = again.union(first.join(gone, "key").select("at.row", "at.line"))
+    return later.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, their text without the removed lines, and n_lines, n_removed (null text: 0, 0)."""
+    """The rows of docs, their text without the removed lines, and n_lines, n_removed (null text: 0, 0; columns of these names go)."""
     stages = Stages(docs.sparkSession)
     gone = small(removed_lines(stages, _rows(docs, id_col, text_col)), stages, "removed")
     own = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
     lines = F.split(text_col, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = own.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    out = own.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
     return out
