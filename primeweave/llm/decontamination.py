@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from primeweave.llm.fm_index import FMIndex
+from primeweave.llm.shared import at_work, batch_rows
 
 WINDOW = 13
 #: Bytes of benchmark text in a broadcast, and words in a shard's index.
@@ -120,7 +121,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = _blocks(benchmark, item_col, item_text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    batch_rows(docs.sparkSession)
+
     def run(batches):
+        at_work("decontamination")
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             at = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from primeweave.llm.shared import Stages, components
+from primeweave.llm.shared import Stages, at_work, components
 from primeweave.llm.shingles import mix, shingle_sets
 
 NUM, DEN = 75, 100
@@ -47,6 +47,7 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _summaries(batches):
+    at_work("ngram_join")
     for batch in batches:
         n, sid = [], []
         for s in shingle_sets(batch.column("text")):
@@ -106,6 +107,7 @@ def _postings(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
     def run(batches):
+        at_work("ngram_join")
         sets, held = {}, 0
         for batch in batches:
             for s in shingle_sets(batch.column("text")):

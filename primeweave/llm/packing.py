@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from primeweave.llm.shared import Stages
+from primeweave.llm.shared import Stages, at_work, remembers
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 700_000
-_WORDS: dict[str, "WordIds"] = {}
+REMEMBERED = 500_000
 
 
 class WordIds(dict):
@@ -53,9 +52,10 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    words = remembers("packing")
+    if path not in words:
+        words[path] = WordIds(path)
+    return words[path]
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def run(batches):
+        at_work("packing")
         words = word_ids(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

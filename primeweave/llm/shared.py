@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import time
 import uuid
@@ -12,6 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: What operators remember in a worker, by operator.
+_REMEMBERED: dict[str, dict] = {}
+#: Rows of an Arrow batch: texts are long, and a batch is held a few times over.
+ARROW_ROWS = "2000"
+
+
+def remembers(name: str) -> dict:
+    """A worker's memory for an operator."""
+    return _REMEMBERED.setdefault(name, {})
+
+
+def at_work(name: str) -> None:
+    """Called as an operator's task begins: a reused worker forgets what others remembered."""
+    import pyarrow as pa
+
+    for other, what in _REMEMBERED.items():
+        if other != name:
+            what.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can give freed memory back
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def batch_rows(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, unless the session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +65,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.paths = spark, shared_folder(spark), []
+        batch_rows(spark)
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:

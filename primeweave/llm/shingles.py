@@ -28,7 +28,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The step's powers and their inverses modulo 2**64, n of each at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, BLOCK)
+        n = max(n, BLOCK + 1)
         _POWERS[:] = []
         for step in (_STEP, pow(_STEP, -1, 1 << 64)):
             out = np.ones(n, np.uint64)

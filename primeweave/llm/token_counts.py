@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from primeweave.llm.shared import at_work, remembers
+
 #: Chunks, and pairs of pieces, that a worker remembers; beyond it, it starts anew.
 REMEMBERED = 500_000
-_SOLVERS: dict[str, "PrefixSolver"] = {}
 
 
 class PrefixSolver(dict):
@@ -140,9 +141,10 @@ class PrefixSolver(dict):
 
 
 def solver(model_path: str) -> PrefixSolver:
-    if model_path not in _SOLVERS:
-        _SOLVERS[model_path] = PrefixSolver(model_path)
-    return _SOLVERS[model_path]
+    solvers = remembers("token_counts")
+    if model_path not in solvers:
+        solvers[model_path] = PrefixSolver(model_path)
+    return solvers[model_path]
 
 
 def prefix_token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,6 +153,7 @@ def prefix_token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id",
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
+        at_work("token_counts")
         solve = solver(model_path)
         for batch in batches:
             texts = batch.column("text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from primeweave.llm.shared import Stages
+from primeweave.llm.shared import Stages, at_work
 
 TRAIN_DOCS = {1: 4000, 0: 8000}
 WINDOW, STRIDE = 80, 40
@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: tuple[Distances, Curve] | None, id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        at_work("toxicity")
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
