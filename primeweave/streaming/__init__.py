@@ -1 +1 @@
-"""Prime-set analytics on Spark."""
+"""Nothing streams in the modelled tool: its tables are built and read in batches."""
