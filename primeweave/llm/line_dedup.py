@@ -94,7 +94,7 @@ def _pairs(x: DataFrame, y: DataFrame, whole: bool) -> DataFrame:
 
 def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key) of the pairs that match."""
-    wanted = small(pairs.select(F.explode(F.array("key", "before")).alias("key")).distinct(), stages, "wanted")
+    wanted = small(pairs.select("key").distinct().union(pairs.select(F.col("before").alias("key")).distinct()).distinct(), stages, "wanted")
     own = lines.join(wanted, "key").select("key", F.array_distinct(_tokens()).alias("tokens"))
     own = stages.put(own, "tokens")
     a, b = own.select("key", F.col("tokens").alias("ta")), own.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
