@@ -1 +1,11 @@
 """Prime-set analytics on Spark."""
+
+import os
+
+
+def importable(spark) -> None:
+    """Lets Python workers on this machine import the package from where the driver did; clusters get it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
