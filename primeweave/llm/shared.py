@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from primeweave import importable
+
 _OWN: dict[str, str] = {}
 #: What operators remember in a worker, by operator.
 _REMEMBERED: dict[str, dict] = {}
@@ -40,7 +42,8 @@ def at_work(name: str) -> None:
 
 
 def batch_rows(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's default, unless the session has a size of its own."""
+    """Smaller Arrow batches than Spark's default, unless the session has a size of its own; the workers find the package."""
+    importable(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
