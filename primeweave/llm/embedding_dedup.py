@@ -1,11 +1,15 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by its NEAREST nearest reference points, in order. Inverted lists hold, for each label and pivot,
-the vectors that have the pivot among theirs; two vectors that share MIN_SHARED pivots or more are candidates, found in the list
-of the first pivot (by number) that they share, and verified by their cosine in double precision. Vectors near each other have
-almost the same nearest pivots. Pivots are drawn from a bounded sample (at most PIVOTS_MOST vectors), about one for LIST rows,
-so lists keep their length as the table grows; all rows are indexed. Measured recall against brute force on the test tables is
-1.0 (tests hold it to 0.95).
+Every vector is described by its NEAREST nearest reference points. Inverted lists hold, for each label and pivot, the vectors
+that have the pivot among theirs; two vectors that share a pivot are candidates, found in the list of the first pivot (by
+number) that they share, and verified by their cosine in double precision. Pivots are drawn from a bounded sample (at most
+PIVOTS_MOST vectors), about one for LIST rows, and no two are nearer than APART: a dense group gets one pivot or a few, which all
+of its vectors have, and not a share of pivots among which the nearest ones are chance. Its list is then as long as the group.
+
+Of its nearest pivots a vector leaves those that no vector linked with it can have as nearest one: if x has p and y has q,
+x.p >= x.q, and |x - y| <= CHORD, then y.(q - p) <= CHORD |q - p|. This loses no pair: a vector with fewer than NEAREST pivots
+left is in the lists of all pivots that its partners have as nearest. All rows are indexed. Recall is 1.0 but for vectors
+with more than NEAREST pivots about equally near (tests hold it to 0.95).
 
 Equal vectors of a label are one node with a count, so copies are never paired with each other. A list is cut in blocks of
 BLOCK vectors, and pairs of blocks are compared one at a time by a matrix product, so memory is bounded whatever a list's
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from primeweave.llm.shared import Stages, components
 
 THRESHOLD = 0.98
-NEAREST, MIN_SHARED = 8, 3
+NEAREST = 8
+#: Greatest cosine of two pivots, and distance of two linked unit vectors.
+APART, CHORD = 0.9, (2 - 2 * THRESHOLD) ** 0.5 + 1e-9
 PIVOTS_LEAST, PIVOTS_MOST, LIST = 64, 4096, 400
 BLOCK = 1024
 
@@ -55,32 +61,37 @@ def _indexed(pivots: np.ndarray, nearest: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _units(part.column("v"), dim)
-                near = np.argpartition(-(x @ pivots.T), nearest - 1, axis=1)[:, :nearest] if nearest < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
+                dots = x @ pivots.T
+                near = np.argpartition(-dots, nearest - 1, axis=1)[:, :nearest] if nearest < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
+                behind = dots.max(1)[:, None] - np.take_along_axis(dots, near, 1)
+                gap = np.sqrt(((pivots[near] - pivots[dots.argmax(1)][:, None, :]) ** 2).sum(2))
+                near = np.where(behind <= CHORD * gap, near, -1)
                 near.sort(axis=1)
-                of = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                of = pa.array(np.nonzero(near >= 0)[0])
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
                 desc = pa.array([r.astype("<i4").tobytes() for r in near], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("label").take(of), pa.array(near.reshape(-1).astype(np.int32)), part.column("node").take(of), part.column("n").take(of), raw.take(of), desc.take(of)], ["label", "pivot", "node", "n", "u", "near"])
+                yield pa.RecordBatch.from_arrays([part.column("label").take(of), pa.array(near[near >= 0].astype(np.int32)), part.column("node").take(of), part.column("n").take(of), raw.take(of), desc.take(of)], ["label", "pivot", "node", "n", "u", "near"])
 
     return run
 
 
-def _compare(nodes, n, u, near, pivot: int, i: slice, j: slice, same: bool):
+def _compare(u, near, pivot: int, i: slice, j: slice, same: bool):
     """Links of two blocks that are found in this list: index pairs."""
-    a, b = u[i] @ u[j].T >= THRESHOLD - 1e-12, None
+    dots = u[i] @ u[j].T
+    a = dots >= THRESHOLD - 1e-12
     if same:
         a &= np.triu(np.ones(a.shape, bool), 1)
     r, c = np.nonzero(a)
-    if not len(r):
-        return r, c
-    b = np.einsum("ij,ij->i", u[i][r], u[j][c]) >= THRESHOLD
-    r, c = r[b], c[b]
-    keep = np.zeros(len(r), bool)
-    for at in range(0, len(r), 100_000):
-        x, y = near[i][r[at : at + 100_000]], near[j][c[at : at + 100_000]]
-        hit = (x[:, :, None] == y[:, None, :]).any(2)
-        first = np.where(hit, x, np.iinfo(np.int32).max).min(1)
-        keep[at : at + 100_000] = (hit.sum(1) >= min(MIN_SHARED, x.shape[1])) & (first == pivot)
+    edge = np.flatnonzero(dots[r, c] < THRESHOLD + 1e-12)  # beyond, the product's order of sums doesn't matter
+    keep = np.ones(len(r), bool)
+    keep[edge] = np.einsum("ij,ij->i", u[i][r[edge]], u[j][c[edge]]) >= THRESHOLD
+    # pairs of which either vector has no lesser pivot are first found here
+    x, y = (np.where((near[k] >= 0) & (near[k] < pivot), near[k], -1) for k in (i, j))
+    both = np.flatnonzero(keep & (x >= 0).any(1)[r] & (y >= 0).any(1)[c])
+    for at in range(0, len(both), 100_000):
+        k = both[at : at + 100_000]
+        xs, ys = x[r[k]][:, :, None], y[c[k]][:, None, :]
+        keep[k] = ~((xs == ys) & (xs >= 0)).any((1, 2))
     return r[keep], c[keep]
 
 
@@ -98,7 +109,7 @@ def _linked(dim: int):
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
         cut = int(np.searchsorted(side, bi, "right"))
         i, j = slice(0, cut), slice(cut, None)
-        r, c = _compare(node, n, u, near, pivot, i, i, True) if bi == bj else _compare(node, n, u, near, pivot, i, j, False)
+        r, c = _compare(u, near, pivot, i, i, True) if bi == bj else _compare(u, near, pivot, i, j, False)
         c = c if bi == bj else c + cut
         links = np.zeros(len(u), np.int64)
         np.add.at(links, r, n[c])
@@ -119,6 +130,22 @@ def _linked(dim: int):
     return run
 
 
+def _apart(units: np.ndarray, most: int) -> np.ndarray:
+    """The first vectors, most of them at most, of which no two have a cosine beyond APART."""
+    out = units[:0]
+    for at in range(0, len(units), 256):
+        part = units[at : at + 256]
+        part = part[(part @ out.T <= APART).all(1)]
+        near, free = part @ part.T > APART, np.ones(len(part), bool)
+        for k in range(len(part)):
+            if free[k]:
+                free[k + 1 :] &= ~near[k, k + 1 :]
+        out = np.concatenate([out, part[free]])
+        if len(out) >= most:
+            break
+    return out[:most]
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row; ids are whole numbers."""
     spark = vectors.sparkSession
@@ -129,13 +156,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = nodes.where(F.size("v") == dim)
     k = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, rows * NEAREST // LIST)))
     lot = F.xxhash64("label", "v")
-    drawn = nodes.where(F.pmod(lot, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * k / max(rows, 1)))).orderBy(lot, "node").limit(k).select("v").collect()
+    drawn = nodes.where(F.pmod(lot, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 3 * k / max(rows, 1)))).orderBy(lot, "node").limit(2 * k).select("v").collect()
     if not drawn:
         drawn = nodes.limit(1).select("v").collect()
     pivots = np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim)
     if len(pivots):
         pivots = pivots / np.abs(pivots).max(1, keepdims=True)
-        pivots /= np.sqrt((pivots * pivots).sum(1, keepdims=True))
+        pivots = _apart(pivots / np.sqrt((pivots * pivots).sum(1, keepdims=True)), k)
     label_type = dict(nodes.dtypes)["label"]
     lists = nodes.select("label", "node", "n", "v").mapInArrow(_indexed(pivots, min(NEAREST, max(len(pivots), 1))), f"label {label_type}, pivot int, node long, n long, u binary, near binary")
     lists = stages.put(lists, "lists")

@@ -125,6 +125,20 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(400, 406))
 
 
+@pytest.mark.parametrize("groups,rest", [(1, 4000), (12, 0)])
+def test_embeddings_in_dense_groups(spark, groups, rest):
+    """A third of the rows, or all of them in a few groups, are distinct near copies."""
+    r = np.random.default_rng(groups)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = np.repeat(unit(r.normal(size=(groups, 64))), 2000 if groups == 1 else 500, axis=0)
+    x = np.concatenate([unit(centre + r.normal(size=centre.shape) * np.sqrt(0.015 / 0.985 / 64)), unit(r.normal(size=(rest, 64)))]).astype(np.float32)
+    y = unit(x.astype(float))
+    want = (y @ y.T >= 0.98).sum(1) - 1
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(vectors(spark, [(k, v, 1, "z", 1) for k, v in enumerate(x.tolist())])).collect()}
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert want.sum() > 10**6 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
