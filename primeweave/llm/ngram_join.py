@@ -111,7 +111,7 @@ def _postings(buckets: int):
         sets, held = {}, 0
         for batch in batches:
             for s in shingle_sets(batch.column("text")):
-                if len(s) > 3:  # smaller sets link with equal ones only
+                if len(s) > 2:  # smaller sets link with equal ones only
                     sid = _set_id(s)
                     if sid not in sets:
                         sets[sid] = s

@@ -456,6 +456,20 @@ def test_join_against_all_pairs(spark, monkeypatch, frequent, dense):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_join_of_three_shingles(spark):
+    """7 and 8 words have 3 and 4 shingles, and link; 6 and 7 don't."""
+    docs = []
+    for k in range(30):
+        w = prose(300 + k, 8).split()
+        docs += [" ".join(w[:n]) for n in ((6, 7, 8) if k % 2 else (8, 7, 5))]
+    same = prose(5, 6)
+    docs += [f"{same} {a}" for a in ("one", "two", "one two", "two one", "one")]
+    docs = list(enumerate(docs))
+    want = jaccard_components(docs)
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_join_of_odd_texts(odd_docs, odd_texts, no_docs):
     want = jaccard_components(odd_texts)
     got = ngram_join.near_duplicates(odd_docs).collect()
