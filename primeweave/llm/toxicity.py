@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: an ordinary one, trained by the library on windows of ordinary text, and a toxic one, the same
+Two zstandard dictionaries: an ordinary one, trained by the library on windows of ordinary text, and a toxic one, not trained: the same
 content followed by the expressions (words, and beginnings of words) of toxic text (in the ordinary one, bytes that match nothing stand there, so that all else
 lies at the same distance). An expression belongs to toxic text if it stands between many different neighbours in toxic texts,
 so that copies don't count, and far seldomer in ordinary ones. A text is cut into overlapping windows at blanks; each is
@@ -28,7 +28,7 @@ from primeweave.llm.shared import Stages, at_work
 
 TRAIN_DOCS = {1: 4000, 0: 8000}
 WINDOW, STRIDE = 80, 40
-DICTIONARY_BYTES, EXPRESSION_BYTES = 16384, 4096
+DICTIONARY_BYTES = 16384
 #: An expression's different neighbours, and how much oftener than in ordinary text, at least.
 NEIGHBOURS, OFTENER = 5, 25
 #: Windows of a text that go into the ordinary dictionary's training.
@@ -70,7 +70,8 @@ class Distances:
     def _compressor(content: bytes):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        log = max(16, len(content).bit_length() + 1)  # every place of the content is found
+        how = z.ZstdCompressionParameters(window_log=log + 1, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         content = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
         content.precompute_compress(compression_params=how)
         return z.ZstdCompressor(dict_data=content, compression_params=how)
@@ -115,7 +116,7 @@ def _neighbours(batches):
     for batch in batches:
         seen = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            w = _CUT.split(text.lower())
+            w = ["", *_CUT.split(text.lower()), ""]
             for k in range(1, len(w) - 1):
                 if len(w[k]) > 3:
                     between = xxhash.xxh64_intdigest(f"{w[k - 1]} {w[k + 1]}") >> 1
@@ -163,8 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = shaping.mapInArrow(_neighbours, "word string, between long, toxic int").distinct().groupBy("word")
     words = words.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     oftener = (F.col("t") / texts[1]) / ((F.col("o") + 0.5) / texts[0])
-    top = words.where((F.col("t") >= NEIGHBOURS) & (oftener >= OFTENER)).orderBy(F.desc("t"), "word").limit(EXPRESSION_BYTES // 5).collect()
-    expressions = b" ".join(r["word"].encode() for r in reversed(top))[-EXPRESSION_BYTES:]
+    top = words.where((F.col("t") >= NEIGHBOURS) & (oftener >= OFTENER)).orderBy(F.desc("t"), "word").collect()  # of a bounded sample
+    expressions = b" ".join(r["word"].encode() for r in reversed(top))
     ordinary = shaping.where("toxic = 0").mapInArrow(_some_windows, "w binary").orderBy(F.xxhash64("w"), "w").collect()  # TRAIN_WINDOWS of each text of the sample
     ordinary = [bytes(r["w"]) for r in ordinary]
     try:

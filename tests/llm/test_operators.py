@@ -230,6 +230,23 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert all(x.score == 0 for x in toxicity.score(odd_docs, None).collect())
 
 
+def test_all_expressions_are_in_the_dictionary(spark):
+    """However many toxic words there are; the first and last words of texts count too."""
+    r = random.Random(13)
+    bad = sorted({"".join(r.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(700)})
+    rows = []
+    for k in range(2700):
+        words = prose(9000 + k, 13).split()
+        if k % 3 == 0:
+            words = [bad[(k // 3 * 14) % len(bad)], *(x for j, w in enumerate(words) for x in (w, bad[(k // 3 * 14 + j + 1) % len(bad)]))]
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    distances, _ = toxicity.learn(docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int"))
+    held = set(distances.kept[1].decode().split())
+    assert len(set(bad) & held) >= 0.95 * len(bad)
+    assert np.mean([distances.of(f"{w} alpha3 beta7")[0] >= 3 for w in bad]) > 0.95
+
+
 # 5 packing
 
 
