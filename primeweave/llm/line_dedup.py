@@ -12,7 +12,8 @@ verified on all tokens. A group of copies is not paired with itself: first each
 others; then, for lines that this has not removed, the lines before them.
 
 Lines without a word match nothing and stay. Null text stays null; ids that are null come first. Rows may repeat: the second of
-two equal rows comes later. An empty table gives no rows. Tokens are compared by 56-bit hashes of 32-bit word hashes.
+two equal rows comes later. An empty table gives no rows. Words and tokens are
+compared by 64-bit hashes; where tokens are only joined, to be verified later, by 56 bits of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from primeweave.llm.shared import BROADCAST_ROWS, Stages, small
 SIMILAR = 0.75
 SHINGLE = 5
 SKETCH = 1 << 16
+#: Words repeat: with a dictionary of this size their hashes take less than 8 bytes each on disk.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,10 +37,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(row, id, line, key, words): words by 32-bit hashes."""
+    """(row, id, line, key, words): words by 64-bit hashes."""
     each = rows.select("row", "id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
     words = F.array_remove(F.split(F.translate(F.lower("said"), "\t\r\x0b\x0c", "    "), " "), "")
-    each = each.select("row", "id", "line", F.transform(words, lambda w: F.hash(w)).alias("words"))
+    each = each.select("row", "id", "line", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     return each.where(F.size("words") > 0).select("row", "id", "line", F.xxhash64("words").alias("key"), "words")
 
 
@@ -104,7 +107,7 @@ def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
     """(row, gone): the places of the lines to remove, for each row that has any."""
-    lines = stages.put(_lines(rows), "lines")
+    lines = stages.put(_lines(rows), "lines", DICTIONARY)
     at = F.struct("id", "row", "line")
     first = stages.put(lines.groupBy("key").agg(F.min(at).alias("at"), F.max(at).alias("last")), "first")
     copies = first.where("at <> last").select("key", F.col("at").alias("first"))

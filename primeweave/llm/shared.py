@@ -75,9 +75,9 @@ class Stages:
         self.paths.append(f"{self.folder}/{name}-{uuid.uuid4().hex}")
         return self.paths[-1]
 
-    def put(self, df: DataFrame, name: str = "stage") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "stage", options: dict[str, str] | None = None) -> DataFrame:
         path, began = self.path(name), time.monotonic()
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         if time.monotonic() - began > 2:
             self.spark._jvm.System.gc()  # what nothing refers to any more, shuffle files of finished jobs among it, is cleaned now
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -341,6 +341,14 @@ def test_lines(spark, odd_docs, odd_texts, no_docs):
     assert line_dedup.deduplicated(no_docs).count() == 0
 
 
+def test_lines_of_words_with_equal_short_hashes(spark):
+    """Spark's 32-bit hashes of these numbers are equal."""
+    docs = [(1, "10106540"), (2, "10147603"), (3, "page 10106540 of it"), (4, "page 10147603 of it\n10106540")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert spark.sql("select hash('10106540') = hash('10147603')").first()[0]
+    assert {x.doc_id: (x.text, x.n_removed) for x in line_dedup.deduplicated(frame).collect()} == {1: (docs[0][1], 0), 2: (docs[1][1], 0), 3: (docs[2][1], 0), 4: ("page 10147603 of it", 1)}
+
+
 # 7 WARC
 
 
