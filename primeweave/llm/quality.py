@@ -4,7 +4,7 @@ The n-grams are of bytes (A-Z lowered, line ends as blanks), ORDER of them. Trus
 continuation counts, context sums and discounts are tables sharded by (language, n-gram) and joined on them, so no table of
 counts is ever in one place. Each order's table holds the interpolated log probability of the n-grams seen, and the weight of
 the order below for each context; an unseen n-gram takes its context's weight and the order below. Texts of a language without
-a model, or of null language, are scored by a pooled model ("*").
+a model, or of null language, are scored by a pooled model ("*"), in which all trusted documents are counted.
 
 Scoring reads the finished tables as a hashed array in each worker while they have MODEL_ROWS rows at most (their number is
 checked); beyond, the n-grams of the documents are joined with the sharded tables instead. Both give the same perplexities.
@@ -79,11 +79,14 @@ def _mask(k: int) -> int:
 
 
 def model_tables(stages: Stages, trusted: DataFrame) -> DataFrame:
-    """(lang, kind, gram, v): kind k, log probabilities of n-grams of k bytes; kind -k, log weights of their contexts. trusted(lang, text)."""
+    """(lang, kind, gram, v): kind k, log probabilities of n-grams of k bytes; kind -k, log weights of their contexts.
+
+    trusted(lang, text); texts of language "*" are counted in the pooled model only.
+    """
     counts = trusted.mapInArrow(_counted, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     counts = stages.put(counts, "counts")
     pooled = counts.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "gram", "c")
-    orders = {ORDER: counts.unionByName(pooled)}
+    orders = {ORDER: counts.where(F.col("lang") != POOLED).unionByName(pooled)}
     for k in range(ORDER - 1, 0, -1):
         orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(F.count("*").alias("c"))
     lower, out = None, []
@@ -261,7 +264,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = small(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct(), stages, "trusted")
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     aside = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0
-    trusted = rows.join(good.where(~aside), "id", "left_semi").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").where("lang <> '*' and text is not null")
+    trusted = rows.join(good.where(~aside), "id", "left_semi").select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").where("text is not null")
     scored = stages.put(perplexities(stages, rows, trusted, most), "scored")
     unseen = scored.join(good.where(aside), "id", "left_semi").where("perplexity is not null")
     span = unseen.groupBy("lang").agg(F.percentile_approx("perplexity", [LOW, HIGH], 10000).alias("q"))

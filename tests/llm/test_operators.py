@@ -171,6 +171,17 @@ def test_quality(spark, languages):
     assert all((joined[k] is None) == (r.perplexity is None) and (joined[k] is None or abs(joined[k] - r.perplexity) < 1e-3 * r.perplexity) for k, r in got.items())
 
 
+@pytest.mark.parametrize("null", [lambda lang: True, lambda lang: lang == "fr"])
+def test_quality_of_trusted_texts_without_language(spark, languages, null):
+    docs = spark.createDataFrame([(a, b, None if null(c) else c) for a, b, c, _ in languages], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(a, d) for a, _, _, d in languages if a % 2], "doc_id long, quality int")
+    own = {a: d for a, _, c, d in languages if null(c)}
+    for most in (quality.MODEL_ROWS, 0):
+        got = {r.doc_id: r for r in quality.judged(docs, labels, most=most).collect()}
+        assert len(got) == len(languages) and all(got[a].perplexity < 30 for a, d in own.items() if d)
+        assert np.mean([got[a].kept for a, d in own.items() if d]) > 0.9 and not any(got[a].kept for a, d in own.items() if not d)
+
+
 def test_quality_is_a_distribution(spark):
     """Probabilities of all bytes after a context sum to 1."""
     docs = spark.createDataFrame([("en", "abracadabra abra cadabra"), ("en", "banana bandana")], "lang string, text string")
