@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its distinct runs of five words (lower-cased, parted by blanks; fewer words: all of them as one). Lines
+A line's tokens are its distinct runs of five words (lower-cased by Unicode's rules, parted by blanks; fewer words: all of them as one). Lines
 whose Jaccard similarity is SIMILAR or more match; of matching lines, those that come later (by document id, then row, then
 place) are removed: a line goes if any line before it matches it.
 
@@ -18,28 +18,34 @@ compared by 64-bit hashes; where tokens are only joined, to be verified later, b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from primeweave.llm.shared import BROADCAST_ROWS, Stages, small
+from primeweave.llm.shared import Stages, fits, numbered, replayable, small
 
 SIMILAR = 0.75
 SHINGLE = 5
 SKETCH = 1 << 16
+#: What parts words beside the space.
+BLANKS = "\t\r\x0b\x0c"
 #: Words repeat: with a dictionary of this size their hashes take less than 8 bytes each on disk.
 DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows numbered by their place in the scan, so repeated rows differ."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return numbered(docs).select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(row, id, line, key, words): words by 64-bit hashes."""
     each = rows.select("row", "id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    words = F.array_remove(F.split(F.translate(F.lower("said"), "\t\r\x0b\x0c", "    "), " "), "")
+    other = [F.contains("said", F.lit(c)) for c in BLANKS]  # few lines hold any, and changing them is dear
+    said = F.when(reduce(Column.__or__, other), F.translate("said", BLANKS, " " * len(BLANKS))).otherwise(F.col("said"))
+    words = F.array_remove(F.split(F.lower(said), " "), "")
     each = each.select("row", "id", "line", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     return each.where(F.size("words") > 0).select("row", "id", "line", F.xxhash64("words").alias("key"), "words")
 
@@ -56,7 +62,9 @@ def _least(n: Column) -> Column:
 
 
 def _classes(lines: DataFrame) -> bytearray:
-    counted = lines.select(F.explode(_tokens()).alias("t")).groupBy(F.pmod("t", F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
+    each = lines.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
+    token = F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(SHINGLE)))  # as _tokens(), but compiled
+    counted = each.groupBy(F.pmod(token, F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
     out = bytearray(SKETCH)
     for r in counted.select("k", F.length(F.bin("c")).alias("bits")).collect():  # SKETCH rows at most
         out[r["k"]] = r["bits"]
@@ -96,45 +104,53 @@ def _pairs(x: DataFrame, y: DataFrame, whole: bool) -> DataFrame:
 
 
 def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key) of the pairs that match."""
+    """(key) of the pairs that match, staged."""
     wanted = small(pairs.select("key").distinct().union(pairs.select(F.col("before").alias("key")).distinct()).distinct(), stages, "wanted")
-    own = lines.join(wanted, "key").select("key", F.array_distinct(_tokens()).alias("tokens"))
-    own = stages.put(own, "tokens")
+    own = stages.put(lines.join(wanted, "key").select("key", F.array_distinct(_tokens()).alias("tokens")), "tokens")
     a, b = own.select("key", F.col("tokens").alias("ta")), own.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "key").join(b, "before").where(both >= SIMILAR * (F.size("ta") + F.size("tb") - both)).select("key").distinct()
+    out = stages.put(pairs.join(a, "key").join(b, "before").where(both >= SIMILAR * (F.size("ta") + F.size("tb") - both)).select("key").distinct(), "matched")
+    stages.drop(own)
+    return out
 
 
 def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
-    """(row, gone): the places of the lines to remove, for each row that has any."""
+    """(row, gone), staged: the places of the lines to remove, for each row that has any."""
     lines = stages.put(_lines(rows), "lines", DICTIONARY)
     at = F.struct("id", "row", "line")
     first = stages.put(lines.groupBy("key").agg(F.min(at).alias("at"), F.max(at).alias("last")), "first")
     copies = first.where("at <> last").select("key", F.col("at").alias("first"))
     again = stages.put(lines.select("key", at.alias("own")).join(copies, "key").where("own <> first").select("own.row", "own.line"), "again")
-    once = lines.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, ["row", "line"], "left_anti")
+    once = lines.join(F.broadcast(again) if fits(again) else again, ["row", "line"], "left_anti")
     tokens = once.select("key", _ordered(_classes(once)).alias("t"))
     tokens = tokens.select("key", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, F.size("t") - _least(F.size("t")) + 1)).alias("place", "token"))
     by = Window.partitionBy("token")
     tokens = tokens.select("token", "key", (F.col("n").cast("long") * (1 << 32) + F.col("place")).alias("np")).withColumn("others", F.count("*").over(by)).where("others > 1")
     tokens = tokens.select("token", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
-    tokens = stages.put(tokens.join(first.select("key", "at"), "key"), "shared")
+    shared = stages.put(tokens, "shared")
+    tokens = stages.put(shared.join(first.select("key", "at"), "key"), "tokens")
+    stages.drop(shared)
     earliest = tokens.groupBy("token").agg(F.min(F.struct("at", "key", "n", "place")).alias("e")).select("token", "e.*")
     star = stages.put(_pairs(tokens, earliest, whole=False), "pairs")
-    gone = stages.put(_matched(stages, star, once), "gone")
-    rest = _pairs(tokens.join(gone, "key", "left_anti"), tokens, whole=True).join(star, ["key", "before"], "left_anti")
-    gone = stages.put(gone.union(_matched(stages, stages.put(rest.select("key", "before"), "pairs"), once)), "gone")
-    later = again.union(first.join(gone, "key").select("at.row", "at.line"))
-    return later.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = _matched(stages, star, once)
+    rest = stages.put(_pairs(tokens.join(gone, "key", "left_anti"), tokens, whole=True).join(star, ["key", "before"], "left_anti").select("key", "before"), "pairs")
+    stages.drop(tokens, star)
+    more = _matched(stages, rest, once)
+    later = again.union(first.join(gone.union(more), "key").select("at.row", "at.line"))
+    out = stages.put(later.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone")), "removed")
+    stages.only(out)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, their text without the removed lines, and n_lines, n_removed (null text: 0, 0; columns of these names go)."""
     stages = Stages(docs.sparkSession)
-    gone = small(removed_lines(stages, _rows(docs, id_col, text_col)), stages, "removed")
-    own = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
-    lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = own.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out
+    docs = replayable(stages, docs)
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
+    gone = removed_lines(Stages(docs.sparkSession), _rows(docs, id_col, text_col))
+    own = numbered(docs).join(F.broadcast(gone) if fits(gone) else gone, "row", "left")
+    text = F.col(f"doc.`{text_col}`")
+    lines = F.split(text, "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = own.select(*kept, F.when(F.col("gone").isNull(), text).otherwise(left).alias(text_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*(F.col(f"`{c}`") for c in [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]))

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -86,7 +87,14 @@ class Stages:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the given staged tables, or all."""
-        gone = [f._stage_path for f in frames] or list(self.paths)
+        self._delete([f._stage_path for f in frames] or list(self.paths))
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all staged tables but the given ones."""
+        kept = {f._stage_path for f in frames}
+        self._delete([p for p in self.paths if p not in kept])
+
+    def _delete(self, gone: list[str]) -> None:
         for p in gone:
             self.paths.remove(p)
             try:
@@ -95,14 +103,36 @@ class Stages:
                 return
 
 
-#: Rows of a narrow table that is broadcast at most; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+_SCANS = re.compile(r"[\s:+|-]*(Project|Filter|Relation|LocalRelation)\b")
+
+
+def replayable(stages: Stages, df: DataFrame) -> DataFrame:
+    """The rows themselves where they are a plain scan, whose places are the same whenever a task is run again; else staged."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    return df if all(_SCANS.match(x) for x in plan) else stages.put(df, "input")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, doc): rows of a replayable table by their place in its scan, so that repeated ids don't meet; doc has all their columns."""
+    return df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"))
+
+
+#: Rows and bytes on disk of a table that is broadcast at most; beyond, it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+
+
+def fits(staged: DataFrame) -> bool:
+    """Whether a staged table may be broadcast."""
+    spark = staged.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(staged._stage_path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return size <= BROADCAST_BYTES and staged.count() <= BROADCAST_ROWS
 
 
 def small(df: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """Staged; marked for broadcast where its rows are few enough."""
+    """Staged; marked for broadcast where it is small enough."""
     df = stages.put(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if fits(df) else df
 
 
 def fold(id_col: str, mod: int):

@@ -24,8 +24,8 @@ def odd_texts():
 @pytest.fixture(scope="session")
 def odd_docs(spark, odd_texts):
     """With extra columns whose names the operators use themselves."""
-    rows = [(i, t, k, "z", None) for k, (i, t) in enumerate(odd_texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, row int, n string, key double")
+    rows = [(i, t, k, "z", None, 77, "g", [k], 5) for k, (i, t) in enumerate(odd_texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, row int, n string, key double, _row int, _gone string, gone array<int>, doc int")
 
 
 @pytest.fixture(scope="session")
