@@ -34,6 +34,8 @@ from primeweave.llm.shingles import mix, shingle_sets
 NUM, DEN = 75, 100
 FREQUENT = 16
 STARS = 3
+#: Postings of a bucket, which one task holds, about.
+BUCKET = 1_000_000
 #: Sets of either side of a block; components of a signature beyond which it makes a family.
 BLOCK, DENSE = 512, 24
 _FREQ_BIT = np.int64(1 << 62)
@@ -244,18 +246,18 @@ def _fits(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def set_components(stages: Stages, docs: DataFrame) -> DataFrame:
-    """(sid, component) of the sets that link with another one; docs(text)."""
+def set_components(stages: Stages, docs: DataFrame, each: DataFrame) -> DataFrame:
+    """(sid, component), staged, of the sets that link with another one; docs(text), each(sid, n)."""
     spark = stages.spark
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = each.where("n > 2").groupBy("sid").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET))
     posted = docs.mapInArrow(_postings(buckets), "bucket int, tokens binary, at binary, sids binary, sizes binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_tokens, "sid long, n long, tokens binary")
     sets = shared.groupBy("sid").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("lists"))
     sets = stages.put(sets.mapInArrow(_candidates, "sid long, n long, tokens binary"), "sets")
     signed = sets.mapInArrow(_signed, "sig long, sid long, n long")
     many = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    signed = stages.put(signed.join(many, "sig"), "signed")
-    tried = None
+    signed, tried = stages.put(signed.join(many, "sig"), "signed"), None
     for star in range(STARS):
         pairs = signed.join(_pivots(signed, star), "sig").where((F.col("sid") != F.col("p")) & _fits("n", "pn"))
         pairs = pairs.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
@@ -265,7 +267,8 @@ def set_components(stages: Stages, docs: DataFrame) -> DataFrame:
         tried = verified if tried is None else tried.union(verified)
         links = tried.where("linked").select("a", "b")
         comp = stages.put(components(stages, links), "components")
-        signed = stages.put(_mixed(signed, comp), "signed")
+        before, signed = signed, stages.put(_mixed(signed, comp), "signed")
+        stages.drop(before)
         if signed.isEmpty():
             return comp
     rest = _across(stages, _labelled(signed, comp, "sid", "c"), sets)
@@ -363,9 +366,10 @@ def _mixed(signed: DataFrame, comp: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), a row for each row; ids are anything that has an order."""
     stages = Stages(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     each = stages.put(rows.mapInArrow(_summaries, f"id {dict(rows.dtypes)['id']}, n long, sid long"), "each")
-    comp = set_components(stages, rows.select("text"))
+    comp = set_components(stages, rows.select("text"), each.select("sid", "n"))
+    stages.only(each, comp)
     classes = each.where("n > 0").groupBy("sid").agg(F.min("id").alias("first"))
     own = classes.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = own.groupBy("component").agg(F.min("first").alias("component_id"))

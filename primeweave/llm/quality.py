@@ -6,8 +6,9 @@ counts is ever in one place. Each order's table holds the interpolated log proba
 the order below for each context; an unseen n-gram takes its context's weight and the order below. Texts of a language without
 a model, or of null language, are scored by a pooled model ("*"), in which all trusted documents are counted.
 
-Scoring reads the finished tables as a hashed array in each worker while they have MODEL_ROWS rows at most (their number is
-checked); beyond, the n-grams of the documents are joined with the sharded tables instead. Both give the same perplexities.
+Scoring joins the n-grams of the documents with the tables: with a copy of them in each worker, a hashed array, while they have
+MODEL_ROWS rows at most (their number is checked), and beyond with the sharded tables. Logarithms are whole numbers of 1 / ONE,
+so sums don't depend on their order, and both give the same perplexities to the last bit.
 
 A fifth of the trusted documents, by a hash of the id, isn't counted but scored as any unseen text; a document is kept if its
 perplexity lies between two quantiles of theirs in its language, widened by SLACK.
@@ -18,6 +19,8 @@ that repeat count once. Every row gives a row; ids may repeat.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,9 @@ ORDER = 5
 MODEL_ROWS = 6_000_000
 LOW, HIGH, SLACK = 0.002, 0.99, 1.2
 POOLED = "*"
+#: Logarithms are kept as whole numbers of 1 / ONE.
+ONE = 1 << 20
+UNSEEN = round(np.log(256) * ONE)
 _PAD = b" " * (ORDER - 1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 BLOCK = 1 << 19
@@ -74,12 +80,16 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "c"])
 
 
+def _fixed(c: str):
+    return F.round(F.log(c) * ONE).cast("int")
+
+
 def _mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
 def model_tables(stages: Stages, trusted: DataFrame) -> DataFrame:
-    """(lang, kind, gram, v): kind k, log probabilities of n-grams of k bytes; kind -k, log weights of their contexts.
+    """(lang, kind, gram, v): kind k, log probabilities of n-grams of k bytes; kind -k, log weights of their contexts, in 1 / ONE.
 
     trusted(lang, text); texts of language "*" are counted in the pooled model only.
     """
@@ -107,7 +117,7 @@ def model_tables(stages: Stages, trusted: DataFrame) -> DataFrame:
         else:
             own = own.withColumn("tail", F.col("gram").bitwiseAND(_mask(k - 1))).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
         lower = stages.put(own.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("below")).alias("p")), "grams")
-        out += [lower.select("lang", F.lit(k).alias("kind"), "gram", F.log("p").alias("v")), ctx.select("lang", F.lit(-k).alias("kind"), F.col("ctx").alias("gram"), F.log("g").alias("v"))]
+        out += [lower.select("lang", F.lit(k).alias("kind"), "gram", _fixed("p").alias("v")), ctx.select("lang", F.lit(-k).alias("kind"), F.col("ctx").alias("gram"), _fixed("g").alias("v"))]
     table = out[0]
     for x in out[1:]:
         table = table.unionByName(x)
@@ -132,7 +142,7 @@ class Lookup:
     @classmethod
     def build(cls, langs: list[str], key: np.ndarray, value: np.ndarray) -> Lookup:
         size = 1 << max(4, int(1.35 * len(key)).bit_length())
-        keys, values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+        keys, values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         at, left, steps = cls.slot(key, size - 1), np.arange(len(key)), 0
         while len(left):
             free = left[keys[at[left]] == 0]
@@ -149,7 +159,7 @@ class Lookup:
         key = self.key(lang, kind, gram)
         at = self.slot(key, len(self.keys) - 1)
         there = self.keys[at] == key
-        out = np.where(there, self.values[at], np.float32(0))
+        out = np.where(there, self.values[at], np.int32(0))
         left = np.flatnonzero(~there & (self.keys[at] != 0))
         for _ in range(self.longest):
             if not len(left):
@@ -161,7 +171,7 @@ class Lookup:
         return there, out
 
     def logp(self, lang: int, code: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(code)), np.arange(len(code))
+        out, left = np.zeros(len(code), np.int64), np.arange(len(code))
         for k in range(ORDER, 0, -1):
             gram = code[left] & _mask(k)
             there, v = self.get(lang, k, gram)
@@ -170,7 +180,7 @@ class Lookup:
             if not len(left):
                 return out
             out[left] += self.get(lang, -k, gram >> 8)[1]
-        out[left] -= np.log(256)
+        out[left] -= UNSEEN
         return out
 
 
@@ -182,16 +192,16 @@ def _scored(shared):
             for first, texts in _parts(batch):
                 code, begin, end = _codes(texts)
                 own = np.array([model.langs.get(x, model.langs.get(POOLED, -1)) for x in langs[first : first + len(texts)]])
-                got = np.zeros(len(texts))
+                got = np.zeros(len(texts), np.int64)
                 for lang in np.unique(own):
                     of = np.flatnonzero(own == lang)
                     n = (end - begin)[of]
-                    v = model.logp(int(lang), np.concatenate([code[a:b] for a, b in zip(begin[of], end[of], strict=True)])) if n.sum() else np.zeros(0)
+                    v = model.logp(int(lang), np.concatenate([code[a:b] for a, b in zip(begin[of], end[of], strict=True)])) if n.sum() else np.zeros(0, np.int64)
                     cut = np.concatenate([[0], np.cumsum(v)])
                     got[of] = cut[np.cumsum(n)] - cut[np.cumsum(n) - n]
                 sums += got.tolist()
                 size += (end - begin).tolist()
-            ppl = [float(np.exp(-s / n)) if n else None for s, n in zip(sums, size, strict=True)]
+            ppl = [math.exp(-s / (n * ONE)) if n else None for s, n in zip(sums, size, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(ppl, pa.float64())], ["id", "lang", "perplexity"])
 
     return run
@@ -214,15 +224,15 @@ def _joined(docs: DataFrame, table: DataFrame) -> DataFrame:
     known = F.broadcast(table.select(F.col("lang").alias("model")).distinct())  # a row a language
     rows = rows.join(known, F.col("lang") == F.col("model"), "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
     grams = rows.select("row", "model", "text").mapInArrow(_document_grams, "row long, model string, gram long, n long")
-    asked = grams.select("model", "gram").distinct().withColumns({"lp": F.lit(0.0), "done": F.lit(False)})
+    asked = grams.select("model", "gram").distinct().withColumns({"lp": F.lit(0), "done": F.lit(False)})
     for k in range(ORDER, 0, -1):
         p = table.where(F.col("kind") == k).select(F.col("lang").alias("model"), F.col("gram").alias("g"), F.col("v").alias("pv"))
         w = table.where(F.col("kind") == -k).select(F.col("lang").alias("model"), F.col("gram").alias("h"), F.col("v").alias("wv"))
         asked = asked.withColumn("g", F.col("gram").bitwiseAND(_mask(k))).withColumn("h", F.shiftright("g", 8)).join(p, ["model", "g"], "left").join(w, ["model", "h"], "left")
-        add = F.when(F.col("done"), 0.0).when(F.col("pv").isNotNull(), F.col("pv")).otherwise(F.coalesce("wv", F.lit(0.0)))
+        add = F.when(F.col("done"), 0).when(F.col("pv").isNotNull(), F.col("pv")).otherwise(F.coalesce("wv", F.lit(0)))
         asked = asked.select("model", "gram", (F.col("lp") + add).alias("lp"), (F.col("done") | F.col("pv").isNotNull()).alias("done"))
-    asked = asked.select("model", "gram", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - np.log(256)).alias("lp"))
-    sums = grams.join(asked, ["model", "gram"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("h"))
+    asked = asked.select("model", "gram", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - UNSEEN).alias("lp"))
+    sums = grams.join(asked, ["model", "gram"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("lp")) / (F.sum("n") * ONE)).alias("h"))
     return rows.join(sums, "row", "left").select("id", "lang", F.exp("h").alias("perplexity"))
 
 
@@ -234,7 +244,7 @@ def perplexities(stages: Stages, docs: DataFrame, trusted: DataFrame, most: int
         return _joined(docs, table)
     langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     number = F.element_at(F.create_map(*(F.lit(x) for k, x in enumerate(langs) for x in (x, k))), F.col("lang")) if langs else F.lit(0)
-    parts = table.select(number.cast("int").alias("lang"), "kind", "gram", F.col("v").cast("float")).mapInArrow(_entries, "keys binary, logs binary")
+    parts = table.select(number.cast("int").alias("lang"), "kind", "gram", "v").mapInArrow(_entries, "keys binary, logs binary")
     got = [(bytes(r["keys"]), bytes(r["logs"])) for r in parts.toLocalIterator()]  # 12 bytes a row
     shared = stages.spark.sparkContext.broadcast((langs, got))
     return docs.mapInArrow(_scored(shared), f"id {dict(docs.dtypes)['id']}, lang string, perplexity double")
@@ -252,7 +262,7 @@ def _lookup(shared) -> Lookup:
     if getattr(shared, "_lookup", None) is None:
         langs, parts = shared.value
         join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
-        keys, values = join(0, np.uint64), join(1, np.float32)
+        keys, values = join(0, np.uint64), join(1, np.int32)
         del parts, shared._value  # the worker keeps the array only; the broadcast can be loaded again from its file
         shared._lookup = Lookup.build(langs, keys, values)
     return shared._lookup

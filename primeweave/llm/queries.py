@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, token_counts, toxicity, warc
+from primeweave.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, pipeline, quality, token_counts, toxicity, warc
 from primeweave.llm.shared import Stages, fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 
 def register(f):

@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: an ordinary one, trained by the library on windows of ordinary text, and a toxic one, not trained: the same
-content followed by the expressions (words, and beginnings of words) of toxic text (in the ordinary one, bytes that match nothing stand there, so that all else
-lies at the same distance). An expression belongs to toxic text if it stands between many different neighbours in toxic texts,
-so that copies don't count, and far seldomer in ordinary ones. A text is cut into overlapping windows at blanks; each is
-compressed with either dictionary, and by how many bytes the toxic one is shorter is the window's distance. A text's score is a
-logistic curve over a few figures of its distances, with thresholds calibrated on labelled texts that the dictionaries haven't
-seen.
+Two zstandard dictionaries are trained by the library. The ordinary one is trained on all windows of ordinary text. The toxic
+one is trained on what is toxic in toxic texts: for each text, its expressions in a row. An expression (a word, or the beginning
+of words) belongs to toxic text if it stands between many different neighbours there, so that copies don't count, and far
+seldomer in ordinary text. Toxic texts are ordinary prose but for these, so a dictionary trained on their whole windows holds the
+same prose as the ordinary one; compressors differ by the toxic dictionary alone: both have the ordinary one, and behind it one
+has the toxic dictionary, the other as many bytes that match nothing, so that all else lies at the same distance.
+
+A text is cut into overlapping windows at blanks; each is compressed by either, and by how many bytes the toxic one is shorter is
+the window's distance. A text's score is a logistic curve over a few figures of its distances, with thresholds calibrated on
+labelled texts that the dictionaries haven't seen.
 
 Learning reads a bounded sample of labelled rows: about TRAIN_DOCS of either label, chosen by a hash of the id. Whole texts are
-read, in learning and in scoring.
+read, in learning and in scoring, all of their windows.
 
 Null text: as empty; an empty text has one empty window. Without labelled rows of both kinds every score is 0. Labels that
 repeat count as toxic if one of them is; null labels are left out. Every row gives a row; ids may repeat.
@@ -31,8 +34,8 @@ WINDOW, STRIDE = 80, 40
 DICTIONARY_BYTES = 16384
 #: An expression's different neighbours, and how much oftener than in ordinary text, at least.
 NEIGHBOURS, OFTENER = 5, 25
-#: Windows of a text that go into the ordinary dictionary's training.
-TRAIN_WINDOWS = 8
+#: Length of the strings that the trainer counts, and of the segments it takes, for the toxic dictionary; its least size.
+STRING, SEGMENT, LEAST_BYTES = 6, 16, 256
 #: Weight of toxic against ordinary texts in calibration.
 PRIOR = 0.25
 _CUT = re.compile(r"[\s.,;:!?|]+")
@@ -62,9 +65,9 @@ def _plain(text: str | None) -> bytes:
 class Distances:
     """Compressors for both dictionaries."""
 
-    def __init__(self, base: bytes, expressions: bytes):
-        self.kept = (base, expressions)
-        self.ordinary, self.toxic = (self._compressor(base + b" " + x) for x in (b"\1" * len(expressions), expressions))
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.kept = (ordinary, toxic)
+        self.ordinary, self.toxic = (self._compressor(ordinary + b" " + x) for x in (b"\1" * len(toxic), toxic))
 
     @staticmethod
     def _compressor(content: bytes):
@@ -125,13 +128,38 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["word", "between", "toxic"])
 
 
-def _some_windows(batches):
+def _windows(batches):
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            own = windows(_plain(text))
-            out += own[:: max(1, -(-len(own) // TRAIN_WINDOWS))]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["w"])
+        for text in batch.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(windows(_plain(text.as_py())), pa.binary())], ["w"])
+
+
+def _found(expressions: list[str]):
+    """Of each text the words that begin with an expression, in a row, in an order by hash: those of one text often repeat."""
+    import xxhash
+
+    longest = "|".join(re.escape(x) for x in sorted(expressions, key=len, reverse=True))
+    words = re.compile(rf"(?<!\w)(?:{longest})[^\s.,;:!?|]*")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                own = list(enumerate(words.findall(text.lower())))
+                own.sort(key=lambda x: xxhash.xxh64_intdigest(f"{x[0]} {x[1]}"))
+                out.append("".join(f"{w} " for _, w in own).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["w"])
+
+    return run
+
+
+def _trained(size: int, samples: list[bytes], otherwise: bytes, **how) -> bytes:
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:  # too little text for the trainer
+        return otherwise[-size:]
 
 
 def _figures_of(distances: Distances, batches):
@@ -142,8 +170,6 @@ def _figures_of(distances: Distances, batches):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Distances, Curve] | None:
     """Fit on all the labelled rows given, or on a bounded sample of them."""
-    import zstandard
-
     spark = docs.sparkSession
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -165,14 +191,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = words.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     oftener = (F.col("t") / texts[1]) / ((F.col("o") + 0.5) / texts[0])
     top = words.where((F.col("t") >= NEIGHBOURS) & (oftener >= OFTENER)).orderBy(F.desc("t"), "word").collect()  # of a bounded sample
-    expressions = b" ".join(r["word"].encode() for r in reversed(top))
-    ordinary = shaping.where("toxic = 0").mapInArrow(_some_windows, "w binary").orderBy(F.xxhash64("w"), "w").collect()  # TRAIN_WINDOWS of each text of the sample
-    ordinary = [bytes(r["w"]) for r in ordinary]
-    try:
-        base = zstandard.train_dictionary(DICTIONARY_BYTES, ordinary).as_bytes()
-    except zstandard.ZstdError:  # too little text for the trainer
-        base = b" ".join(ordinary)[-DICTIONARY_BYTES:]
-    distances = Distances(base, expressions)
+    expressions = [r["word"] for r in top]
+    by_hash = [F.xxhash64("w"), F.col("w")]
+    ordinary = [bytes(r["w"]) for r in shaping.where("toxic = 0").mapInArrow(_windows, "w binary").orderBy(*by_hash).collect()]  # of a bounded sample
+    found = [bytes(r["w"]) for r in shaping.where("toxic = 1").mapInArrow(_found(expressions), "w binary").where(F.length("w") >= 8).orderBy(*by_hash).collect()] if expressions else []
+    plain = " ".join(reversed(expressions)).encode()
+    toxic = _trained(max(LEAST_BYTES, len(plain)), found * 4, plain, k=SEGMENT, d=STRING, split_point=1.0)  # the trainer wants samples beyond the size
+    distances = Distances(_trained(DICTIONARY_BYTES, ordinary, b" ".join(ordinary)), toxic)
     rows = (rest if rest.select("toxic").distinct().count() > 1 else sample).mapInArrow(lambda b: _figures_of(distances, b), "toxic int, x array<double>").collect()
     stages.drop()
     order = sorted((r["toxic"], list(r["x"])) for r in rows)
