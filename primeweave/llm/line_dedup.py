@@ -5,7 +5,8 @@ whose Jaccard similarity is SIMILAR or more match; of matching lines, those that
 place) are removed: a line goes if any line before it matches it.
 
 Lines of the same words are joined first, by a hash, and only the first of each goes on. Tokens are ordered by rarity: a sketch of
-SKETCH counters, counted over all lines, gives each its class (the bits of its counter), rare classes first, hashes within. Two
+SKETCH counters, counted over all lines, gives each its class (three to an octave of its counter), rare classes first, hashes
+within. Two
 matching lines of n and m tokens share one in the first n - ceil(SIMILAR * n) + 1 and m - ceil(SIMILAR * m) + 1; so prefixes are
 joined on their tokens, pairs whose lengths or token places can't reach the overlap they need are dropped, and the others
 verified on all tokens. A group of copies is not paired with itself: first each token's earliest line is held against the
@@ -28,7 +29,7 @@ from primeweave.llm.shared import Stages, fits, numbered, replayable, small
 
 SIMILAR = 0.75
 SHINGLE = 5
-SKETCH = 1 << 16
+SKETCH = 1 << 18
 #: What parts words beside the space.
 BLANKS = "\t\r\x0b\x0c"
 #: Words repeat: with a dictionary of this size their hashes take less than 8 bytes each on disk.
@@ -66,8 +67,8 @@ def _classes(lines: DataFrame) -> bytearray:
     token = F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(SHINGLE)))  # as _tokens(), but compiled
     counted = each.groupBy(F.pmod(token, F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
     out = bytearray(SKETCH)
-    for r in counted.select("k", F.length(F.bin("c")).alias("bits")).collect():  # SKETCH rows at most
-        out[r["k"]] = r["bits"]
+    for r in counted.select("k", F.least(F.floor(F.log2("c") * 3 + 1e-9), F.lit(127)).cast("int").alias("octave")).collect():  # SKETCH rows at most
+        out[r["k"]] = r["octave"]
     return out
 
 

@@ -8,7 +8,7 @@ a model, or of null language, are scored by a pooled model ("*"), in which all t
 
 Scoring joins the n-grams of the documents with the tables: with a copy of them in each worker, a hashed array, while they have
 MODEL_ROWS rows at most (their number is checked), and beyond with the sharded tables. Logarithms are whole numbers of 1 / ONE,
-so sums don't depend on their order, and both give the same perplexities to the last bit.
+so sums do not depend on their order, and both give the same perplexities (but for the last bit of their exponential).
 
 A fifth of the trusted documents, by a hash of the id, isn't counted but scored as any unseen text; a document is kept if its
 perplexity lies between two quantiles of theirs in its language, widened by SLACK.

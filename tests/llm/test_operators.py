@@ -199,7 +199,7 @@ def test_quality(spark, languages):
     assert np.mean([got[a].kept for a, *_, d in languages if d]) > 0.9 and not any(got[a].kept for a, *_, d in languages if not d)
     assert got[1000].perplexity is None and not got[1000].kept and not got[1001].kept and got[1002].perplexity > 0
     joined = {r.doc_id: r.perplexity for r in quality.judged(docs, labels, most=0).collect()}
-    assert joined == {k: r.perplexity for k, r in got.items()}
+    assert joined.keys() == got.keys() and all(p == got[k].perplexity or abs(p / got[k].perplexity - 1) < 1e-14 for k, p in joined.items())
 
 
 def kneser_ney(texts, order=5):
@@ -269,7 +269,7 @@ def test_quality_without_labels(spark, languages, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judged(no_docs, labels).count() == 0
     docs = spark.createDataFrame([(a, b, c) for a, b, c, _ in languages[:5]], "doc_id long, text string, lang string")
-    assert all(abs(r.perplexity - 256) < 1e-6 and not r.kept for r in quality.judged(docs, labels).collect())
+    assert all(abs(r.perplexity - 256) < 1e-3 and not r.kept for r in quality.judged(docs, labels).collect())
 
 
 # 4 toxicity
