@@ -6,6 +6,7 @@ Values of the table domain (below 10**38) are DECIMAL(38,0); `div` wraps on such
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,16 @@ def floor_div(a: Column, b: Column) -> Column:
     return wide((a - a % b) / b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """Whole quotient of BIGINTs; `/` would go through a double."""
+    return F.call_function("div", a.cast("long"), b.cast("long"))
+
+
+def power(base: Column, exponent: Column) -> Column:
+    """BIGINT power by multiplication; overflow is an error."""
+    return F.aggregate(F.when(exponent > 0, F.sequence(F.lit(1), exponent.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(1).cast("long"), lambda acc, _: acc * base)
+
+
 def bits(v: Column) -> Column:
     """Bit length of a BIGINT that isn't negative; 0 for 0."""
     return F.when(v > 0, F.length(F.bin(v))).otherwise(0)
@@ -80,6 +91,51 @@ def inverse(a: pd.Series, m: pd.Series) -> pd.Series:
 inverse = inverse.asNondeterministic()  # kept out of lambdas, where it can't run
 
 
+@F.pandas_udf(T.DecimalType(38, 0))
+def powmod(base: pd.Series, exponent: pd.Series, m: pd.Series) -> pd.Series:
+    """base ** exponent modulo m, exact for whole numbers of any size below 10**38."""
+    return _decimals(pow(int(b), int(e), int(x)) for b, e, x in zip(base, exponent, m, strict=True))
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def gcd_wide(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _decimals(math.gcd(int(x), int(y)) for x, y in zip(a, b, strict=True))
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def lcm_wide(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _decimals(math.lcm(int(x), int(y)) for x, y in zip(a, b, strict=True))
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def lambda_wide(factors: pd.Series) -> pd.Series:
+    """lcm of p - 1 over an array of distinct primes."""
+    return _decimals(None if f is None else math.lcm(*(int(p) - 1 for p in f)) for f in factors)
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def inverse_wide(a: pd.Series, m: pd.Series) -> pd.Series:
+    return _decimals(inverse_mod(int(x), int(y)) for x, y in zip(a, m, strict=True))
+
+
+def path_value(primes: list[int], full: bool = False) -> int | None:
+    """What a path stands for: its product, or d times the inverse of d modulo lam(d); None where there is no inverse."""
+    d = math.prod(primes)
+    if full:
+        return d
+    i = inverse_mod(d, math.lcm(*(p - 1 for p in primes)))
+    return None if i is None else d * i
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def path_values(paths: pd.Series) -> pd.Series:
+    return _decimals(path_value([int(p) for p in x]) for x in paths)
+
+
+def _decimals(numbers) -> pd.Series:
+    return pd.Series([None if x is None else Decimal(x) for x in numbers], dtype="object")
+
+
 def product(items: Column) -> Column:
     """Of an array; null where it passes 38 digits."""
     return F.aggregate(items, F.lit(1).cast(WIDE), lambda acc, x: F.try_multiply(acc, wide(x)).cast(WIDE))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from primeweave.functions import arith
+
 #: The first 13 primes are the bases of strong-pseudoprime tests; with the first 12, verdicts below PSI12 are proofs.
 BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 PSI12 = 318665857834031151167461
@@ -58,15 +60,31 @@ def factor_columns(numbers: DataFrame, col: str, most: int) -> DataFrame:
     steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
 
     def exponent(p):
-        return F.aggregate(steps, F.struct(n.alias("m"), F.lit(0).alias("e")), lambda s, _: F.when(s.m % p == 0, F.struct(F.expr("1").cast("long").alias("m"), s.e.alias("e")).withField("m", (s.m / p).cast("long")).withField("e", s.e + 1)).otherwise(s), lambda s: s.e)
+        return F.aggregate(steps, F.struct(n.alias("m"), F.lit(0).alias("e")), lambda s, _: F.when(s.m % p == 0, F.struct(F.expr("1").cast("long").alias("m"), s.e.alias("e")).withField("m", arith.quotient(s.m, p)).withField("e", s.e + 1)).otherwise(s), lambda s: s.e)
 
     small = F.transform(F.filter(base, lambda p: n % p == 0), lambda p: F.struct(p.alias("p"), exponent(p).alias("e")))
     out = numbers.withColumn("_small", small)
-    rest = F.aggregate("_small", n, lambda acc, f: (acc / F.pow(f.p, f.e)).cast("long"))
+    rest = F.aggregate("_small", n, lambda acc, f: arith.quotient(acc, arith.power(f.p, f.e)))
     tail = F.when(F.col("_rest") > 1, F.array(F.struct(F.col("_rest").alias("p"), F.lit(1).alias("e")))).otherwise(F.array().cast("array<struct<p:bigint,e:int>>"))
     return out.withColumn("_rest", rest).withColumn("factors", F.concat("_small", tail)).drop("_small", "_rest")
 
 
+def factor_limited(numbers: DataFrame, col: str, limit: int) -> DataFrame:
+    """Adds factors (struct p, e) of primes up to the limit, and what is left as cofactor: 1, a prime or a composite."""
+    n = F.col(col).cast("long")
+    base = F.array(*(F.lit(int(p)).cast("long") for p in small_primes(limit + 1)))
+    step = lambda s, p: F.when(s.m % p == 0, F.struct(arith.quotient(s.m, p).alias("m"), (s.e + 1).alias("e"))).otherwise(s)
+    exponent = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.struct(n.alias("m"), F.lit(0).alias("e")), lambda s, _: step(s, p), lambda s: s.e)
+    out = numbers.withColumn("factors", F.transform(F.filter(base, lambda p: n % p == 0), lambda p: F.struct(p.alias("p"), exponent(p).alias("e"))))
+    return out.withColumn("cofactor", F.aggregate("factors", n, lambda acc, f: arith.quotient(acc, arith.power(f.p, f.e))))
+
+
+@F.pandas_udf(T.BooleanType())
+def proven_prime(n: pd.Series) -> pd.Series:
+    """Whether whole numbers (as text or decimals) are prime; null where it isn't proven."""
+    return pd.Series([None if x is None else is_prime(int(x)) for x in n], dtype="object")
+
+
 def is_prime(n: int) -> bool | None:
     """None where no strong test proves or refutes it."""
     if n < 2:

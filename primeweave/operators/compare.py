@@ -24,6 +24,14 @@ def set_verdict(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return full_compare(a, b, key).select(F.when((F.col("only_a") == 0) & (F.col("only_b") == 0), SAME).otherwise(DIFFERENT).alias("verdict"))
 
 
+def multiset_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys, counted as often as they repeat, are common, only in a or only in b, and whether all agree."""
+    x, y = a.groupBy(key).agg(F.count("*").alias("_p")), b.groupBy(key).agg(F.count("*").alias("_q"))
+    p, q = F.coalesce("_p", F.lit(0)), F.coalesce("_q", F.lit(0))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return x.join(y, key, "full_outer").agg(none(F.least(p, q)).alias("common"), none(F.greatest(p - q, F.lit(0))).alias("only_a"), none(F.greatest(q - p, F.lit(0))).alias("only_b"), (none(F.abs(p - q)) == 0).alias("same"))
+
+
 def positional_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(rank, left_value, right_value) where two sorted lists differ at a position."""
     x = ranked(a.select(F.col(key).alias("left_value")), "left_value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from itertools import combinations
 
 import pandas as pd
@@ -29,7 +30,7 @@ def subsets(factors: Column) -> Column:
 
 
 def _lcm(a: Column, b: Column) -> Column:
-    return (a / arith.gcd(a, b)).cast("long") * b
+    return arith.quotient(a, arith.gcd(a, b)) * b
 
 
 def _all(primes: list[int]):
@@ -66,9 +67,42 @@ def choose_dmin(n: pd.Series, factors: pd.Series) -> pd.DataFrame:
 choose_dmin = choose_dmin.asNondeterministic()  # one call a row: the optimizer would copy it into lambdas, where it can't run
 
 
+_WIDE_CHOICE = T.StructType([T.StructField("d", T.DecimalType(38, 0)), T.StructField("lam", T.DecimalType(38, 0)), T.StructField("tier", T.IntegerType())])
+
+
+def _choices(found: list[tuple | None]) -> pd.DataFrame:
+    number = lambda k: pd.Series([Decimal(r[k]) if r else None for r in found], dtype="object")
+    return pd.DataFrame({"d": number(0), "lam": number(1), "tier": pd.Series([r[2] if r else None for r in found], dtype="Int32")})
+
+
+@F.pandas_udf(_WIDE_CHOICE)
+def choose_dmin_wide(n: pd.Series, factors: pd.Series) -> pd.DataFrame:
+    """The least valid divisor of a wide n, from its distinct primes."""
+    found = [least_valid(int(x), [int(p) for p in f]) for x, f in zip(n, factors, strict=True)]
+    return _choices([(*r, 0) if r else None for r in found])
+
+
+choose_dmin_wide = choose_dmin_wide.asNondeterministic()
+
+
+def best_bucket(primes: list[int], low: int, high: int) -> tuple[int, int, int] | None:
+    """(d, lam, tier): of divisors in [low, high] the one of the greatest d lam(d), ties to the greater; else of those below low, tier 1."""
+    able = [(d >= low, d * lam, d, lam) for d, lam in _all(primes) if d <= high]
+    best = max(able, default=None)
+    return (best[2], best[3], 0 if best[0] else 1) if best else None
+
+
+def choose_bucket_wide(factors: Column, low: int, high: int) -> Column:
+    @F.pandas_udf(_WIDE_CHOICE)
+    def choose(factors: pd.Series) -> pd.DataFrame:
+        return _choices([best_bucket([int(p) for p in f], low, high) for f in factors])
+
+    return choose.asNondeterministic()(factors)
+
+
 def choose_dmin_native(n: Column, factors: Column) -> Column:
     """The same choice from all subsets, in the JVM."""
-    valid = F.filter(subsets(factors), lambda s: s.lam > F.floor(n / s.d))
+    valid = F.filter(subsets(factors), lambda s: s.lam > arith.quotient(n, s.d))
     return F.array_min(F.transform(valid, lambda s: F.struct(s.d.alias("d"), s.lam.alias("lam"))))
 
 
@@ -92,12 +126,12 @@ def divisor_path(factors: Column, d: Column) -> Column:
 
 def mask_of(factors: Column, d: Column) -> Column:
     """Bit j is set if the j-th smallest prime divides d."""
-    bits = F.transform(F.array_sort(factors), lambda p, i: F.when(d % p == 0, F.pow(F.lit(2), i).cast("int")).otherwise(0))
+    bits = F.transform(F.array_sort(factors), lambda p, i: F.when(d % p == 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
     return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
 
 
 def subset_of(factors: Column, mask: Column) -> Column:
-    return F.filter(F.array_sort(factors), lambda p, i: F.floor(mask / F.pow(F.lit(2), i)) % 2 == 1)
+    return F.filter(F.array_sort(factors), lambda p, i: F.call_function("shiftright", mask, i).bitwiseAND(1) == 1)
 
 
 def record_faults(n: Column, factors: Column, most: int = 10**24, factor_most: int = 10**12, first_most: int = 10**8) -> Column:

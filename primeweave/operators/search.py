@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from primeweave.functions import arith
 from primeweave.operators import divisors, lists, tree
 
 EPSILON = 1e-9
@@ -23,7 +24,7 @@ EPSILON = 1e-9
 def candidates(records: DataFrame) -> DataFrame:
     """(n, ps, masks): for records(n, ps), the masks of all valid divisors."""
     s = divisors.subsets(F.col("ps"))
-    valid = F.filter(s, lambda x: x.lam > F.floor(F.col("n") / x.d))
+    valid = F.filter(s, lambda x: x.lam > arith.quotient(F.col("n"), x.d))
     return records.select("n", "ps", F.transform(valid, lambda x: x.mask).alias("masks"))
 
 

@@ -10,8 +10,8 @@ from primeweave.operators import lists
 from primeweave.plans.registry import query, table
 
 V_SQL = "with v as (select distinct epoch_us(ts) as v from events)"
-#: Lookups ask for values of this rule: each 37th value, moved by a remainder.
-ASKED_SQL = ", q as (select v + (v % 5) - 2 as q from (select v, row_number() over (order by v) - 1 as r from v) where r % 37 = 0)"
+#: Lookups ask for every value, moved by a remainder.
+ASKED_SQL = ", q as (select v + (v % 5) - 2 as q from v)"
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,7 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lists.ranked(values(spark, sf_dir), "v").where("rank % 37 = 0")
-    return rows.select((F.col("v") + F.col("v") % 5 - 2).alias("q")).distinct()
+    return values(spark, sf_dir).select((F.col("v") + F.col("v") % 5 - 2).alias("q")).distinct()
 
 
 @query("block_index", V_SQL + " select (r // 4096)::bigint as block_id, min(v) as first_value, min(r)::bigint as rank_base, count(*) as n_rows from (select v, row_number() over (order by v) - 1 as r from v) group by 1")
@@ -28,7 +27,7 @@ def _(spark, d):
     return lists.block_index(values(spark, d), "v", 4096)
 
 
-LOOKUP_SQL = V_SQL + ASKED_SQL + ", a as (select distinct q from q), l as (select q, (select max(v) from v where v <= q) as predecessor, (select min(v) from v where v >= q) as successor, (select count(*) from v where v <= q) as rank from a)"
+LOOKUP_SQL = V_SQL + ASKED_SQL + ", a as (select distinct q from q), o as (select v, row_number() over (order by v) as i from v), l as (select q, x.v as predecessor, y.v as successor, coalesce(x.i, 0) as rank from a asof left join o x on q >= x.v asof left join o y on q <= y.v)"
 
 
 @query("point_lookup", LOOKUP_SQL + " select q, coalesce(predecessor = q, false) as is_member from l")
@@ -46,9 +45,9 @@ def _(spark, d):
     return lists.lookup(values(spark, d), "v", asked(spark, d), "q").select("q", "rank")
 
 
-@query("rank_select", V_SQL + " select r::bigint as rank, v from (select v, row_number() over (order by v) - 1 as r from v) where r % 100 = 7")
+@query("rank_select", V_SQL + " select r::bigint as rank, v from (select v, row_number() over (order by v) - 1 as r from v)")
 def _(spark, d):
-    return lists.ranked(values(spark, d), "v").where("rank % 100 = 7").select("rank", "v")
+    return lists.ranked(values(spark, d), "v").select("rank", "v")
 
 
 @query("range_enumerate", V_SQL + ", b as (select min(v) as lo, max(v) as hi from v) select v from v, b where v >= lo + (hi - lo) // 4 and v < lo + (hi - lo) // 2")
@@ -61,7 +60,7 @@ def _(spark, d):
 @query("find_block", LOOKUP_SQL + " select q, case when rank = 0 then null else ((rank - 1) // 4096)::bigint end as block_id from l")
 def _(spark, d):
     found = lists.lookup(values(spark, d), "v", asked(spark, d), "q")
-    return found.select("q", F.when(F.col("rank") > 0, F.floor((F.col("rank") - 1) / 4096).cast("long")).alias("block_id"))
+    return found.select("q", F.when(F.col("rank") > 0, arith.quotient(F.col("rank") - 1, F.lit(4096))).alias("block_id"))
 
 
 @query("block_stride_sample", V_SQL + " select v, r::bigint as rank from (select v, row_number() over (order by v) - 1 as r from v) where (r // 64) % 10 = 0")

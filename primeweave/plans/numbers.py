@@ -84,11 +84,16 @@ def _(spark, d):
     return k.select("n", p.alias("spf"), (p == F.col("n")).alias("is_prime"))
 
 
-@query("factored_range", SIEVE_SQL.replace("keys as (select distinct o_orderkey as n from orders where o_orderkey > 1)", "keys as (select unnest(range(2, 3000)) as n)") + f" select n, {TEXT} as factors from kf where n <= (select m from lim)")
+@query("factored_range", SIEVE_SQL.replace("keys as (select distinct o_orderkey as n from orders where o_orderkey > 1)", "keys as (select i as n from r)") + f" select n, {TEXT} as factors from kf")
 def _(spark, d):
     top = most(keys(spark, d))
-    window = spark.range(2, min(3000, top + 1)).select(F.col("id").alias("n"))
-    return primes.factor_columns(window, "n", 3000).select("n", _text("factors").alias("factors"))
+    window = spark.range(2, top + 1).select(F.col("id").alias("n"))
+    return primes.factor_columns(window, "n", top).select("n", _text("factors").alias("factors"))
+
+
+@query("factor_limited", SIEVE_SQL + ", few as (select * from kp where p <= 47) select keys.n, coalesce(string_agg(p || '^' || e, ' ' order by p), '') as factors, (keys.n / coalesce(product(p ** e), 1))::bigint as cofactor from keys left join few on few.n = keys.n group by keys.n")
+def _(spark, d):
+    return primes.factor_limited(keys(spark, d), "n", 50).select("n", _text("factors").alias("factors"), "cofactor")
 
 
 def _odd_primes(spark, top: int) -> DataFrame:
@@ -100,10 +105,10 @@ def _(spark, d):
     return _odd_primes(spark, most(keys(spark, d))).select("p", "rank")
 
 
-@query("next_prime_lookup", SIEVE_SQL + ", op as (select p from pr where p > 2), o as (select n from keys where n % 7 = 3) select n, (select min(p) from op where p >= n) as next_prime, (select count(*) from op where p < n) as primes_below from o")
+@query("next_prime_lookup", SIEVE_SQL + ", op as (select p, row_number() over (order by p) as i from pr where p > 2) select n, a.p as next_prime, coalesce(b.i, 0)::bigint as primes_below from keys asof left join op a on n <= a.p asof left join op b on n > b.p")
 def _(spark, d):
     k = keys(spark, d)
-    found = lists.lookup(primes.primes_between(spark, 3, most(k) + 1), "p", k.where("n % 7 = 3"), "n")
+    found = lists.lookup(primes.primes_between(spark, 3, most(k) + 1), "p", k, "n")
     return found.select("n", F.col("successor").alias("next_prime"), (F.col("rank") - F.col("is_member").cast("int")).alias("primes_below"))
 
 
@@ -117,18 +122,17 @@ def _pairs(spark, d):
 @query("gcd_lcm", PAIR_SQL + " select a, b, gcd(a, b)::bigint as gcd, lcm(a, b)::bigint as lcm from p")
 def _(spark, d):
     g = arith.gcd(F.col("a"), F.col("b"))
-    return _pairs(spark, d).withColumn("gcd", g).withColumn("lcm", (F.col("a") / F.col("gcd")).cast("long") * F.col("b"))
+    return _pairs(spark, d).withColumn("gcd", g).withColumn("lcm", arith.quotient(F.col("a"), F.col("gcd")) * F.col("b"))
 
 
-@query("inverse_mod", PAIR_SQL + " select a, b, case when gcd(a, b) = 1 then list_filter(range(0, b), lambda x: (a * x) % b = 1)[1] end as inverse from p where a % 11 = 0")
+@query("inverse_mod", PAIR_SQL + " select a, b, case when gcd(a, b) = 1 then list_filter(range(0, b), lambda x: (a * x) % b = 1)[1] end as inverse from p")
 def _(spark, d):
-    return _pairs(spark, d).where("a % 11 = 0").withColumn("inverse", arith.inverse("a", "b"))
+    return _pairs(spark, d).withColumn("inverse", arith.inverse("a", "b"))
 
 
-@query("powmod", PAIR_SQL + " select a, b, list_reduce(list_transform(range(0, 7), lambda x: a % b), lambda x, y: (x * y) % b)::bigint as power from p where a % 11 = 0")
+@query("powmod", PAIR_SQL + " select a, b, list_reduce(list_transform(range(0, a % 29 + 2), lambda x: a % b), lambda x, y: (x * y) % b)::bigint as power from p")
 def _(spark, d):
-    step = lambda acc, _: (acc * (F.col("a") % F.col("b"))) % F.col("b")
-    return _pairs(spark, d).where("a % 11 = 0").withColumn("power", F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.col("a") % F.col("b"), step))
+    return _pairs(spark, d).withColumn("power", arith.powmod("a", F.col("a") % 29 + 2, "b").cast("long"))
 
 
 @query("carmichael_lambda", SIEVE_SQL + " select n, list_reduce(list_transform(ps, lambda x: x - 1), lambda a, b: lcm(a, b))::bigint as lam from kf")
@@ -156,7 +160,7 @@ def _(spark, d):
 @query("valid_divisors", SUBSET_SQL + " select n, count(*) as subsets, count(*) filter (lam > n // d) as valid from sd group by n")
 def _(spark, d):
     rows = squarefree(spark, d).withColumn("s", divisors.subsets(F.col("ps")))
-    valid = F.size(F.filter("s", lambda s: s.lam > F.floor(F.col("n") / s.d)))
+    valid = F.size(F.filter("s", lambda s: s.lam > arith.quotient(F.col("n"), s.d)))
     return rows.select("n", F.size("s").cast("long").alias("subsets"), valid.cast("long").alias("valid"))
 
 
@@ -177,16 +181,16 @@ def _(spark, d):
  select n, d, i as first, case when n // d >= i and (n // d - i) % lam = 0 then (n // d - i) // lam end as k from rr""")
 def _(spark, d):
     rows = squarefree(spark, d).withColumn("c", divisors.choose_bucket(F.col("ps"), 500)).where("c is not null").select("n", "c.d", "c.lam")
-    rows = rows.withColumn("first", arith.inverse("d", "lam")).where("first is not null").withColumn("m", (F.col("n") / F.col("d")).cast("long"))
+    rows = rows.withColumn("first", arith.inverse("d", "lam")).where("first is not null").withColumn("m", arith.quotient(F.col("n"), F.col("d")))
     fits = (F.col("m") >= F.col("first")) & ((F.col("m") - F.col("first")) % F.col("lam") == 0)
-    return rows.select("n", "d", "first", F.when(fits, ((F.col("m") - F.col("first")) / F.col("lam")).cast("long")).alias("k"))
+    return rows.select("n", "d", "first", F.when(fits, arith.quotient(F.col("m") - F.col("first"), F.col("lam"))).alias("k"))
 
 
 @query("cofactor_primes", SUBSET_SQL + " select n, d, n // d as cofactor, array_to_string(list_filter(ps, lambda x: not list_contains(s, x)), ' ') as primes from dm")
 def _(spark, d):
     rows = smallest(spark, d).where("d is not null")
     rest = F.filter("ps", lambda p: F.col("d") % p != 0)
-    return rows.select("n", "d", (F.col("n") / F.col("d")).cast("long").alias("cofactor"), F.array_join(F.transform(rest, lambda p: p.cast("string")), " ").alias("primes"))
+    return rows.select("n", "d", arith.quotient(F.col("n"), F.col("d")).alias("cofactor"), F.array_join(F.transform(rest, lambda p: p.cast("string")), " ").alias("primes"))
 
 
 @query("divisor_path", SUBSET_SQL + " select n, d, array_to_string(s, ' ') as path from dm")

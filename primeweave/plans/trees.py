@@ -189,12 +189,13 @@ def _(spark, d):
     return tree.quantized(tree.histogram(tree.set1_symbols(rows, order, deepest), "ctx"), "ctx")
 
 
-TWO_SQL = "with a as (select distinct l_partkey as item from lineitem where l_returnflag = 'A' and l_quantity < 8), b as (select distinct l_partkey as item from lineitem where l_returnflag = 'R' and l_quantity < 8)"
+TWO_SQL = "with a as (select distinct l_orderkey as item from lineitem where l_returnflag = 'A'), b as (select distinct l_orderkey as item from lineitem where l_returnflag = 'R')"
 
 
 def _two(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity < 8")
-    return tuple(rows.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("item")) for flag in "AR")
+    """Orders with lines of either flag."""
+    rows = table(spark, d, "lineitem")
+    return tuple(rows.where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("item")) for flag in "AR")
 
 
 @query("paths_full_compare", TWO_SQL + " select count(*) filter (a.item is not null and b.item is not null) as common, count(*) filter (b.item is null) as only_a, count(*) filter (a.item is null) as only_b from a full join b on a.item = b.item")
@@ -226,6 +227,11 @@ def _(spark, d):
     return compare.positional_compare(a.distinct(), b.distinct(), "item").orderBy("rank").limit(5)  # a report of the first five
 
 
+@query("multiset_equality", "with a as (select l_orderkey as item from lineitem where l_returnflag = 'A'), b as (select l_orderkey as item from lineitem where l_returnflag = 'R'), x as (select item, count(*) as n from a group by 1), y as (select item, count(*) as n from b group by 1), z as (select coalesce(x.n, 0) as p, coalesce(y.n, 0) as q from x full join y using (item)) select sum(least(p, q))::bigint as common, sum(greatest(p - q, 0))::bigint as only_a, sum(greatest(q - p, 0))::bigint as only_b, sum(abs(p - q)) = 0 as same from z")
+def _(spark, d):
+    return compare.multiset_compare(*_two(spark, d), "item")
+
+
 @query("duplicate_check", "with b as (select l_orderkey, list(distinct l_partkey order by l_partkey) as path from lineitem group by 1) select array_to_string(path, ' ') as path, count(*) as copies from b group by 1 having count(*) > 1")
 def _(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("path"))
