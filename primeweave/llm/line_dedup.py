@@ -149,11 +149,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs, their text without the removed lines, and n_lines, n_removed (null text: 0, 0; columns of these names go)."""
     stages = Stages(docs.sparkSession)
     docs = replayable(stages, docs)
-    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
     gone = removed_lines(Stages(docs.sparkSession), _rows(docs, id_col, text_col))
     own = numbered(docs).join(F.broadcast(gone) if fits(gone) else gone, "row", "left")
     text = F.col(f"doc.`{text_col}`")
     lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = own.select(*kept, F.when(F.col("gone").isNull(), text).otherwise(left).alias(text_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*(F.col(f"`{c}`") for c in [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]))
+    done = F.struct(F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    own = own.select("doc", done.alias("done"))  # before any name of the input is a column again
+    kept = [F.col("done.text" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return own.select(*kept, "done.n_lines", "done.n_removed")
