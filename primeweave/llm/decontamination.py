@@ -3,7 +3,8 @@
 A shard is a part of a task's documents of a bounded number of words (a longer document is a shard of its own). Its words
 are numbered by the benchmark's vocabulary; runs of such words that are as long as the shortest window are indexed, as no
 window can occur elsewhere. All windows are searched backwards at once, occurrences located by sampled positions, and the
-spans of a document merged. The benchmark is broadcast in blocks of bounded size, each searched against all documents.
+spans of a document merged. The benchmark is broadcast in blocks of bounded size, each searched against all documents; the
+driver builds one block at a time, and where there are several, a worker holds one at a time.
 
 Words are maximal runs of 0-9, a-z and anything beyond ASCII after lower-casing A-Z. Null text has no words and no hit. Items
 without words, and null items, have no window. Items of the same text all count. Every row gives a row; ids may repeat.
@@ -11,6 +12,8 @@ without words, and null items, have no window. Items of the same text all count.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from primeweave.llm.shared import at_work, batch_rows
 
 WINDOW = 13
 #: Bytes of benchmark text in a broadcast, and words in a shard's index.
-BLOCK_BYTES, SHARD_WORDS = 16 << 20, 2_000_000
+BLOCK_BYTES, SHARD_WORDS = 1 << 20, 2_000_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -112,8 +115,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
     items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).where("i is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(size // BLOCK_BYTES) + 1
-    of = lambda k: [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()]
-    return [benchmark.sparkSession.sparkContext.broadcast(Windows(of(k), WINDOW)) for k in range(n)]
+    rows = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(n))).orderBy("k").toLocalIterator()
+    own = ([(r.i, r.t) for r in part] for _, part in groupby(rows, key=lambda r: r.k))
+    return [benchmark.sparkSession.sparkContext.broadcast(Windows(block, WINDOW)) for block in own]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -153,6 +157,8 @@ def _shard(blocks: list, ids: pa.Array, texts: pa.Array, docs: list[list[bytes]]
             hit.setdefault(k, []).append(word[doc == k])
         for k, i in pairs.tolist():
             items.setdefault(k, set()).add(str(windows.items[i]))
+        if len(blocks) > 1:
+            del windows, shard, number, block._value  # read again from the broadcast's file when next wanted
     n_hit, spans = [0] * len(docs), [[]] * len(docs)
     for k, parts in hit.items():
         at, where = np.unique(np.concatenate(parts)), word_spans(texts[k].as_py())

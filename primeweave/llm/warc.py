@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.llm.shared import Stages
+from primeweave.llm.shared import Stages, small
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 RECORDS_A_FILE = 1000
+#: Copies of a payload beyond which its pages learn of it by a broadcast.
+HOT = 10_000
 #: RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
@@ -49,8 +51,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str | None = "ur
     """(value): a record's text for each page, without its end."""
     page = pages.select(F.col(id_col).alias("id"), F.coalesce(payload_col, F.lit("")).alias("payload"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"))
     page = page.withColumn("sha", F.sha1(F.encode("payload", "utf-8"))).withColumn("bytes", F.octet_length("payload"))
-    first = page.where(F.col("bytes") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("sha", "first")
-    page = page.join(first, "sha", "left").withColumn("revisit", F.coalesce((F.col("first") < F.col("id")) & (F.col("bytes") >= least), F.lit(False)))
+    first = page.where(F.col("bytes") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("copies")).where("first <> last")
+    stages = Stages(pages.sparkSession)
+    first = stages.put(first, "payloads")
+    hot = small(first.where(F.col("copies") > HOT).select("sha", F.col("first").alias("hot")), stages, "hot")
+    rare = first.where(F.col("copies") <= HOT).select("sha", F.col("first").alias("rare"))
+    # pages of a hot payload learn its first page without meeting in a task: only others are dealt by their payload
+    page = page.join(hot, "sha", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("hot "), F.col("id").cast("string"))))
+    page = page.join(rare.withColumnRenamed("sha", "key"), "key", "left").withColumn("first", F.coalesce("hot", "rare"))
+    page = page.withColumn("revisit", F.coalesce((F.col("first") < F.col("id")) & (F.col("bytes") >= least), F.lit(False)))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     plain = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")

@@ -436,7 +436,9 @@ def test_lines_of_words_with_equal_short_hashes(spark):
 # 7 WARC
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_archives(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     trap = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(5, "http://a b\n", trap), (1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (6, "u", "é" * 1000), (7, "u", trap + trap), (8, "u", "WARC/1.1\r\n")]
     pages = spark.createDataFrame([(*x, 1, 2) for x in rows], "page_id long, url string, html string, id int, sha int")
