@@ -94,28 +94,28 @@ inverse = inverse.asNondeterministic()  # kept out of lambdas, where it can't ru
 @F.pandas_udf(T.DecimalType(38, 0))
 def powmod(base: pd.Series, exponent: pd.Series, m: pd.Series) -> pd.Series:
     """base ** exponent modulo m, exact for whole numbers of any size below 10**38."""
-    return _decimals(pow(int(b), int(e), int(x)) for b, e, x in zip(base, exponent, m, strict=True))
+    return decimals(pow(int(b), int(e), int(x)) for b, e, x in zip(base, exponent, m, strict=True))
 
 
 @F.pandas_udf(T.DecimalType(38, 0))
 def gcd_wide(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _decimals(math.gcd(int(x), int(y)) for x, y in zip(a, b, strict=True))
+    return decimals(math.gcd(int(x), int(y)) for x, y in zip(a, b, strict=True))
 
 
 @F.pandas_udf(T.DecimalType(38, 0))
 def lcm_wide(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _decimals(math.lcm(int(x), int(y)) for x, y in zip(a, b, strict=True))
+    return decimals(math.lcm(int(x), int(y)) for x, y in zip(a, b, strict=True))
 
 
 @F.pandas_udf(T.DecimalType(38, 0))
 def lambda_wide(factors: pd.Series) -> pd.Series:
     """lcm of p - 1 over an array of distinct primes."""
-    return _decimals(None if f is None else math.lcm(*(int(p) - 1 for p in f)) for f in factors)
+    return decimals(None if f is None else math.lcm(*(int(p) - 1 for p in f)) for f in factors)
 
 
 @F.pandas_udf(T.DecimalType(38, 0))
 def inverse_wide(a: pd.Series, m: pd.Series) -> pd.Series:
-    return _decimals(inverse_mod(int(x), int(y)) for x, y in zip(a, m, strict=True))
+    return decimals(inverse_mod(int(x), int(y)) for x, y in zip(a, m, strict=True))
 
 
 def path_value(primes: list[int], full: bool = False) -> int | None:
@@ -129,10 +129,10 @@ def path_value(primes: list[int], full: bool = False) -> int | None:
 
 @F.pandas_udf(T.DecimalType(38, 0))
 def path_values(paths: pd.Series) -> pd.Series:
-    return _decimals(path_value([int(p) for p in x]) for x in paths)
+    return decimals(path_value([int(p) for p in x]) for x in paths)
 
 
-def _decimals(numbers) -> pd.Series:
+def decimals(numbers) -> pd.Series:
     return pd.Series([None if x is None else Decimal(x) for x in numbers], dtype="object")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,8 @@ from primeweave.sources import files
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="containers-")
+    """In the shared folder: of the checkpoints, else of the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -141,7 +141,12 @@ def _(spark, d):
     return spark.read.format("pwt2").load(path).select(F.col("n").cast("long").alias("n"))
 
 
-@query("sha_stream")
+def sha_sql(relation: str) -> str:
+    """SHA-256 of a relation's values v, in order, as 16 bytes each, least first."""
+    return f"(select sha256(unhex(string_agg(array_to_string(list_transform(range(15, -1, -1), lambda i: substr(lpad(to_hex(v::hugeint), 32, '0'), 2 * i + 1, 2)), ''), '' order by v))) from {relation})"
+
+
+@query("sha_stream", f"with o as ({ODD_SQL}) select {sha_sql('o')} as sha_nset, (select sum(v)::varchar from o) as total_check, (select count(*) from o) as record_count")
 def _(spark, d):
     """Ordered hash, total and count of the odd list, as hex."""
     t = files.n_targets(odd(spark, d), "v")

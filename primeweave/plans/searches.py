@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from primeweave.operators import divisors, search
@@ -15,7 +13,7 @@ from primeweave.plans.registry import query
 def _(spark, d):
     """(n, mask, d): the divisor chosen for each key after at most two sweeps."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="search-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
     rows, _ = search.search(numbers.squarefree(spark, d).where(F.size("ps") >= 2), sweeps=2)
     value = F.aggregate(divisors.subset_of(F.col("ps"), F.col("mask")), F.lit(1).cast("long"), lambda a, p: a * p)
     return rows.select("n", "mask", value.alias("d"))

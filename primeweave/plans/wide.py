@@ -12,7 +12,7 @@ from primeweave.functions import arith, primes
 from primeweave.operators import divisors
 from primeweave.plans.registry import query, table
 
-STEP = 35
+STEP = 7
 #: Three primes, so that products pass 2**63.
 P, Q, R = 1000003, 998244353, 1000000007
 

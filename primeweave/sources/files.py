@@ -6,9 +6,14 @@ VBG1 and PWT2 are chains and are read by one task. Values reach Spark as DECIMAL
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 import hashlib
+import itertools
+import math
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -42,14 +47,37 @@ def _size(path: str) -> int:
         return f.size()
 
 
+class Ranged:
+    """A file that gives slices of its bytes, without being read whole."""
+
+    def __init__(self, path: str):
+        self.path, self.size = path, _size(path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, piece: slice) -> bytes:
+        begin, end, _ = piece.indices(self.size)
+        return _bytes(self.path, begin, max(begin, end))
+
+
+def stream(path: str, chunk: int = 8 << 20) -> Iterator[bytes]:
+    with _open(path) as f:
+        while data := f.read(chunk):
+            yield data
+
+
+def footer_targets(path: str) -> bytes:
+    """What a class list or a tree file certifies to by its own footer: ordered hash, total, count."""
+    return Ranged(path)[-56:]
+
+
 class Part(InputPartition):
     def __init__(self, *what):
         self.what = what
 
 
 def _values(numbers) -> pa.Array:
-    from decimal import Decimal
-
     return pa.array([Decimal(v) for v in numbers], pa.decimal128(38, 0))
 
 
@@ -74,12 +102,36 @@ class _Source(DataSource):
 
 
 class _Orc1Reader(_Reader):
+    """Filters on block_id, rank and n choose blocks by the index; Spark applies them to the rows again."""
+
+    def __init__(self, source):
+        super().__init__(source)
+        self.bounds: list[tuple[str, float, float]] = []
+
+    def pushFilters(self, filters):  # noqa: N802  Spark's name
+        for f in filters:
+            column, value = getattr(f, "attribute", (None,))[0], getattr(f, "value", None)
+            if column in ("block_id", "rank", "n") and value is not None:
+                low, high = {"EqualTo": (value, value), "GreaterThan": (value, math.inf), "GreaterThanOrEqual": (value, math.inf), "LessThan": (-math.inf, value), "LessThanOrEqual": (-math.inf, value)}.get(type(f).__name__, (-math.inf, math.inf))
+                if isinstance(value, (int, Decimal)):
+                    self.bounds.append((column, low, high))
+            yield f
+
+    def _chosen(self, index: list[tuple[int, int, int]]) -> list[int]:
+        firsts, out = [first for first, _, _ in index], set(range(len(index)))
+        for column, low, high in self.bounds:
+            if column == "n":  # the last block that begins at or below the value holds it
+                a, b = bisect.bisect_right(firsts, low) - 1, bisect.bisect_right(firsts, high) - 1
+            else:
+                a, b = (x if math.isinf(x) else int(x) // (formats.BLOCK if column == "rank" else 1) for x in (low, high))
+            out &= {k for k in out if a <= k <= b}
+        return sorted(out)
+
     def partitions(self):
-        data = _bytes(self.path)
-        n, index, index_off, _ = formats.orc1_open(data)
+        n, index, index_off, _ = formats.orc1_open(Ranged(self.path))
         ends = [off for _, off, _ in index[1:]] + [index_off - 64]
-        groups = range(0, len(index), BLOCKS)
-        return [Part([(k, 64 + index[k][1], 64 + ends[k], index[k][2], min(formats.BLOCK, n - index[k][2])) for k in range(g, min(g + BLOCKS, len(index)))]) for g in groups]
+        blocks = [(k, 64 + index[k][1], 64 + ends[k], index[k][2], min(formats.BLOCK, n - index[k][2])) for k in self._chosen(index)]
+        return [Part(blocks[g : g + BLOCKS]) for g in range(0, len(blocks), BLOCKS)] or [Part([])]
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
         for k, a, b, base, count in part.what[0]:
@@ -150,7 +202,7 @@ class Vbg1(_Source):
 
 class _CndReader(_Reader):
     def partitions(self):
-        modulus, width, classes = formats.cnd_open(_bytes(self.path))
+        modulus, width, classes = formats.cnd_open(Ranged(self.path))
         return [Part(modulus, width, classes[k : k + CLASSES]) for k in range(0, len(classes), CLASSES)]
 
     def read(self, part):
@@ -193,6 +245,7 @@ FORMATS = (Orc1, Raw16, Paths, Masks, Vbg1, Cnd, Pwt2)
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for f in FORMATS:
         spark.dataSource.register(f)
 
@@ -213,23 +266,40 @@ def write_text(records: DataFrame, path: str) -> None:
     records.repartitionByRange("n").sortWithinPartitions("n").select(line.alias("value")).write.text(path)
 
 
-def _store(spark: SparkSession, path: str, data: bytes) -> None:
-    """One file, put down complete: written beside and renamed."""
+def _store(spark: SparkSession, path: str, parts) -> None:
+    """One file, put down complete: its parts are written beside, one after another, and renamed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     final, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.partial-{uuid.uuid4().hex}")
     where = final.getFileSystem(conf)
     out = where.create(beside, True)
-    for k in range(0, len(data), 1 << 20):
-        out.write(data[k : k + (1 << 20)])
+    for data in parts:
+        for k in range(0, len(data), 1 << 20):
+            out.write(data[k : k + (1 << 20)])
     out.close()
     where.delete(final, False)
     if not where.rename(beside, final):
         raise OSError(f"{path} could not be put in place")
 
 
-def _chunks(rows: DataFrame, key: str, schema: str, encode) -> list:
-    """Encodes groups in parallel; the pieces come to the driver in order, as the file has to be one."""
-    return rows.groupBy(key).applyInPandas(encode, schema).orderBy(key).toLocalIterator()
+def _chunks(rows: DataFrame, key: str, schema: str, encode) -> Iterator[bytes]:
+    """Encodes groups in parallel; the pieces come to the driver in order, one at a time, as the file has to be one."""
+    return (bytes(r["data"]) for r in rows.groupBy(key).applyInPandas(encode, schema).orderBy(key).toLocalIterator())
+
+
+@contextlib.contextmanager
+def _pieces(rows: DataFrame, key: str, schema: str, encode, path: str):
+    """The same, for files that begin with figures of all pieces: written beside the file, then read as often as needed."""
+    spark, beside = rows.sparkSession, f"{path}.pieces-{uuid.uuid4().hex}"
+    rows.groupBy(key).applyInPandas(encode, schema).write.parquet(beside)
+    try:
+        yield spark.read.schema(schema).parquet(beside).orderBy(key)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _data(pieces: DataFrame) -> Iterator[bytes]:
+    return (bytes(r["data"]) for r in pieces.toLocalIterator())
 
 
 def _ints(frame: pd.DataFrame, column: str) -> list[int]:
@@ -256,13 +326,14 @@ def write_orc1(records: DataFrame, path: str) -> None:
         text = "".join(formats.text_line(*r) for r in own).encode()
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "first": [str(own[0][0])], "rows": [len(own)], "total": [str(sum(n for n, _ in own))], "data": [formats.orc1_block(own)], "text": [text]})
 
-    blocks, sha, last = [], hashlib.sha256(), -1
-    for r in _chunks(rows, "block", "block long, first string, rows int, total string, data binary, text binary", encode):
-        sha.update(r["text"])
-        blocks.append((int(r["first"]), r["block"] * formats.BLOCK, r["rows"], int(r["total"]), bytes(r["data"])))
-        formats.need(blocks[-1][0] > last, "values don't ascend")
-        last = blocks[-1][0]
-    _store(records.sparkSession, path, formats.orc1_file(blocks, sha.digest()))
+    with _pieces(rows, "block", "block long, first string, rows int, total string, data binary, text binary", encode, path) as pieces:
+        blocks, sha, last = [], hashlib.sha256(), -1
+        for r in pieces.select("block", "first", "rows", "total", F.octet_length("data").alias("size"), "text").toLocalIterator():
+            sha.update(r["text"])
+            blocks.append((int(r["first"]), r["block"] * formats.BLOCK, r["rows"], int(r["total"]), r["size"]))
+            formats.need(blocks[-1][0] > last, "values don't ascend")
+            last = blocks[-1][0]
+        _store(records.sparkSession, path, formats.orc1_parts(blocks, _data(pieces.select("block", "data")), sha.digest()))
 
 
 def _ranked_wide(rows: DataFrame, key: str) -> DataFrame:
@@ -273,7 +344,7 @@ def _ranked_wide(rows: DataFrame, key: str) -> DataFrame:
 def write_raw16(values: DataFrame, path: str, column: str = "v") -> None:
     rows = _ranked_wide(values.select(F.col(column).alias("v")), "v").withColumn("part", F.floor(F.col("rank") / ROWS).cast("long"))
     encode = lambda f: pd.DataFrame({"part": [int(f["part"].iloc[0])], "data": [formats.raw16(_ints(f.sort_values("rank"), "v"))]})
-    _store(values.sparkSession, path, b"".join(bytes(r["data"]) for r in _chunks(rows, "part", "part long, data binary", encode)))
+    _store(values.sparkSession, path, _chunks(rows, "part", "part long, data binary", encode))
 
 
 def write_vbg1(values: DataFrame, path: str, column: str = "v") -> None:
@@ -285,13 +356,14 @@ def write_vbg1(values: DataFrame, path: str, column: str = "v") -> None:
         formats.need(all(a < b for a, b in zip(v, v[1:], strict=False)), "values don't ascend")
         return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "first": [str(v[0])], "last": [str(v[-1])], "rows": [len(v)], "data": [formats.vbytes([b - a for a, b in zip(v, v[1:], strict=False)])]})
 
-    body, n, last = [], 0, 0
-    for r in _chunks(rows, "part", "part long, first string, last string, rows int, data binary", encode):
-        formats.need(int(r["first"]) > last or not n, "values don't ascend")
-        body += [formats.vbyte(int(r["first"]) - last), bytes(r["data"])]
-        n, last = n + r["rows"], int(r["last"])
-    data = b"".join(body)
-    _store(values.sparkSession, path, formats.VBG1 + n.to_bytes(8, "little") + len(data).to_bytes(8, "little") + data)
+    with _pieces(rows, "part", "part long, first string, last string, rows int, data binary", encode, path) as pieces:
+        heads, n, size, last = [], 0, 0, 0
+        for r in pieces.select("part", "first", "last", "rows", F.octet_length("data").alias("size")).toLocalIterator():
+            formats.need(int(r["first"]) > last or not n, "values don't ascend")
+            heads.append(formats.vbyte(int(r["first"]) - last))
+            n, size, last = n + r["rows"], size + len(heads[-1]) + r["size"], int(r["last"])
+        body = (part for pair in zip(heads, _data(pieces.select("part", "data")), strict=True) for part in pair)
+        _store(values.sparkSession, path, itertools.chain([formats.VBG1 + n.to_bytes(8, "little") + size.to_bytes(8, "little")], body))
 
 
 def write_cnd(values: DataFrame, path: str, modulus: int, targets: bytes, column: str = "v") -> None:
@@ -305,26 +377,28 @@ def write_cnd(values: DataFrame, path: str, modulus: int, targets: bytes, column
         k = sorted(_ints(frame, "k"))
         return pd.DataFrame({"r": [int(frame["r"].iloc[0])], "rows": [len(k)], "data": [formats.cnd_class(k, width)]})
 
-    classes = {r["r"]: (r["rows"], bytes(r["data"])) for r in _chunks(rows, "r", "r long, rows int, data binary", encode)}
-    _store(values.sparkSession, path, formats.cnd_file(modulus, width, classes, targets))
+    with _pieces(rows, "r", "r long, rows int, data binary", encode, path) as pieces:
+        sizes = {r["r"]: (r["rows"], r["size"]) for r in pieces.select("r", "rows", F.octet_length("data").alias("size")).toLocalIterator()}  # a row a class, as in the file's directory
+        _store(values.sparkSession, path, formats.cnd_parts(modulus, width, sizes, _data(pieces.select("r", "data")), targets))
 
 
 def write_paths(paths: DataFrame, path: str, fields: int, order: str = "n", column: str = "path") -> None:
     rows = _ranked_wide(paths.select(F.col(order).alias("n"), F.col(column).alias("path")), "n").withColumn("part", F.floor(F.col("rank") / ROWS).cast("long"))
     encode = lambda f: pd.DataFrame({"part": [int(f["part"].iloc[0])], "data": [b"".join(formats.path_record(sorted(int(x) for x in p), fields) for p in f.sort_values("rank")["path"])]})
-    _store(paths.sparkSession, path, b"".join(bytes(r["data"]) for r in _chunks(rows, "part", "part long, data binary", encode)))
+    _store(paths.sparkSession, path, _chunks(rows, "part", "part long, data binary", encode))
 
 
 def write_masks(masks: DataFrame, path: str, order: str = "n", column: str = "mask") -> None:
-    rows = _ranked_wide(masks.select(F.col(order).alias("n"), F.col(column).alias("mask")), "n").orderBy("rank").select("mask")
-    _store(masks.sparkSession, path, formats.masks([r[0] for r in rows.toLocalIterator()]))
+    rows = _ranked_wide(masks.select(F.col(order).alias("n"), F.col(column).alias("mask")), "n").withColumn("part", F.floor(F.col("rank") / ROWS).cast("long"))
+    encode = lambda f: pd.DataFrame({"part": [int(f["part"].iloc[0])], "data": [formats.mask_rows(_ints(f.sort_values("rank"), "mask"))]})
+    _store(masks.sparkSession, path, itertools.chain([masks.count().to_bytes(8, "little")], _chunks(rows, "part", "part long, data binary", encode)))
 
 
 def write_pwt2(paths: DataFrame, path: str, targets: bytes, full: bool = False, kind: int | None = 3, column: str = "path") -> None:
     """One stream, whose contexts depend on all before: coded by one task, in which the tree must fit."""
     encode = lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([pwt2.encode([[int(x) for x in p] for b in batches for p in b.column("path").to_pylist()], targets, full, kind)], pa.binary())], ["data"])])
     data = paths.select(F.col(column).alias("path")).coalesce(1).mapInArrow(encode, "data binary").first()["data"]
-    _store(paths.sparkSession, path, bytes(data))
+    _store(paths.sparkSession, path, [bytes(data)])
 
 
 def sniff(spark: SparkSession, path: str) -> str | None:
