@@ -12,6 +12,7 @@ table gives no rows.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 
 import numpy as np
@@ -24,6 +25,8 @@ from primeweave.llm.shared import Stages, at_work, remembers
 
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 REMEMBERED = 700_000
+#: Words of one call of the tokenizer, and characters whose words are learnt together.
+AT_ONCE, PART = 64, 1 << 20
 
 
 class WordIds(dict):
@@ -32,24 +35,70 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
 
+    @staticmethod
+    def plainer(word: str) -> str | None:
+        """A word with the same ids, or the word before a mark that is a token group of its own; None where there is none."""
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].lower().isalpha() and word[-2] != "Σ":
+            return word[:-1]
+        if word.isascii() and not word.islower() and word != (low := word.lower()) and "<|" not in word:
+            return low
+        return None
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].lower().isalpha() and word[-2] != "Σ":  # a mark after a letter is a token group of its own
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and not word.islower() and word != (low := word.lower()) and "<|" not in word:
-            ids = self[low]
-        else:
+        plainer = self.plainer(word)
+        if plainer is None:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        else:
+            ids = self[plainer] + self[word[-1]] if len(plainer) < len(word) else self[plainer]
         if len(word) < 100:
             self[word] = ids
         return ids
 
+    def learn(self, words) -> None:
+        """Remember words of letters, AT_ONCE of them in a call of the tokenizer, which is cheaper than one by one: each is one
+        token group, numbered in order."""
+        new = set()
+        for word in words:
+            if word not in self:
+                while (plainer := self.plainer(word)) is not None:
+                    word = plainer
+                if word.isalpha() and len(word) < 100 and word not in self and word.lower().isalpha():
+                    new.add(word)
+        if len(self) + len(new) >= REMEMBERED:
+            self.clear()
+        new = list(new)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, group = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
+            cut = np.flatnonzero(np.diff(group)) + 1
+            if len(cut) + 1 == len(part):
+                raw = ids.tobytes()
+                ends = [0, *(4 * cut).tolist(), len(raw)]
+                for k, word in enumerate(part):
+                    self[word] = raw[ends[k] : ends[k + 1]]
+
     def encode(self, text: str) -> bytes:
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
+    def encode_all(self, texts: list[str]):
+        """The ids of each text, in parts of about PART characters or one text, whose words are learnt together."""
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < PART:
+                split.append(texts[at].replace("\n", " ").split(" "))
+                size += len(texts[at])
+                at += 1
+            self.learn({w for words in split for w in words})
+            for words in split:
+                yield b"".join([self[w] for w in words])
+
 
 def word_ids(path: str) -> WordIds:
     words = remembers("packing")
@@ -135,8 +184,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 of, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column("text")):
-                    coded = words.encode(text.as_py() or "") + end
+                for k, coded in enumerate(words.encode_all([t or "" for t in part.column("text").to_pylist()])):
+                    coded += end
                     for a in range(0, len(coded), 4 * capacity):
                         own = coded[a : a + 4 * capacity]
                         of.append(k)

@@ -35,7 +35,7 @@ DICTIONARY_BYTES = 16384
 #: An expression's different neighbours, and how much oftener than in ordinary text, at least.
 NEIGHBOURS, OFTENER = 5, 25
 #: Length of the strings that the trainer counts, and of the segments it takes, for the toxic dictionary; its least size.
-STRING, SEGMENT, LEAST_BYTES = 6, 16, 256
+STRING, SEGMENT, LEAST_BYTES = 6, 200, 256
 #: Weight of toxic against ordinary texts in calibration.
 PRIOR = 0.25
 _CUT = re.compile(r"[\s.,;:!?|]+")
@@ -129,9 +129,10 @@ def _neighbours(batches):
 
 
 def _windows(batches):
+    """A text's windows in one value, parted by a byte that ends a window wherever it stands."""
     for batch in batches:
         for text in batch.column("text"):
-            yield pa.RecordBatch.from_arrays([pa.array(windows(_plain(text.as_py())), pa.binary())], ["w"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(windows(_plain(text.as_py())))], pa.binary())], ["w"])
 
 
 def _found(expressions: list[str]):
@@ -193,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     top = words.where((F.col("t") >= NEIGHBOURS) & (oftener >= OFTENER)).orderBy(F.desc("t"), "word").collect()  # of a bounded sample
     expressions = [r["word"] for r in top]
     by_hash = [F.xxhash64("w"), F.col("w")]
-    ordinary = [bytes(r["w"]) for r in shaping.where("toxic = 0").mapInArrow(_windows, "w binary").orderBy(*by_hash).collect()]  # of a bounded sample
+    ordinary = [w for r in shaping.where("toxic = 0").mapInArrow(_windows, "w binary").orderBy(*by_hash).collect() for w in bytes(r["w"]).split(b"\0")]  # of a bounded sample
     found = [bytes(r["w"]) for r in shaping.where("toxic = 1").mapInArrow(_found(expressions), "w binary").where(F.length("w") >= 8).orderBy(*by_hash).collect()] if expressions else []
     plain = " ".join(reversed(expressions)).encode()
     toxic = _trained(max(LEAST_BYTES, len(plain)), found * 4, plain, k=SEGMENT, d=STRING, split_point=1.0)  # the trainer wants samples beyond the size
