@@ -1,7 +1,8 @@
 """Frequency-ordered prefix trees over item sets: counts, ranks, paths, nodes, contexts and their models, all as relations.
 
 Items rank by how many sets hold them, ties to the greater item; a set is the ascending array of its ranks; a node is a prefix
-of such an array. Node relations come from exploding prefixes and grouping, so no tree is ever in one place.
+of such an array. Node relations come from exploding prefixes and grouping, so no tree is ever in one place. What a node's contexts
+need of its path (product, parent's rank) is carried along from the path, not joined.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ def item_counts(paths: DataFrame) -> DataFrame:
 def item_order(counts: DataFrame) -> DataFrame:
     """(item, cnt, rank, class_id, class_size, value_index): ranks from 1; classes are runs of equal counts; value_index by item.
 
-    The counts are read by several jobs: persist them.
+    Items are whole numbers below 10**19. Ranges are cut on count and item together, so that the many items of a low count are
+    spread. The counts are read by several jobs: persist them.
     """
-    order = ranked(counts, "cnt", F.col("item").desc(), name="rank", descending=True).withColumn("rank", F.col("rank") + 1)
+    wide = lambda c: F.col(c).cast("decimal(19,0)").cast("decimal(38,0)")
+    key = (wide("cnt") * F.lit("10000000000000000000").cast("decimal(20,0)") + wide("item")).cast("decimal(38,0)")
+    order = ranked(counts.withColumn("_key", key), "_key", name="rank", descending=True).withColumn("rank", F.col("rank") + 1).drop("_key")
     classes = order.groupBy("cnt").agg(F.count("*").alias("class_size"))
     classes = ranked(classes, "cnt", name="class_id", descending=True).withColumn("class_id", F.col("class_id") + 1)
     order = order.join(classes, "cnt")
@@ -39,94 +43,111 @@ def item_order(counts: DataFrame) -> DataFrame:
 
 
 def ranked_paths(paths: DataFrame, order: DataFrame) -> DataFrame:
-    """(path, ranks): each set with its ranks, ascending."""
-    own = paths.select("path", F.explode("path").alias("item")).join(order.select("item", "rank"), "item")
-    return own.groupBy("path").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    """(path, ranks, items, indexes): each set with its ranks, ascending, and the items and value indexes in their order."""
+    own = paths.select("path", F.explode("path").alias("item")).join(order.select("item", "rank", "value_index"), "item")
+    own = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "value_index"))).alias("own"))
+    return own.select("path", F.col("own.rank").alias("ranks"), F.col("own.item").alias("items"), F.col("own.value_index").alias("indexes"))
 
 
-def nodes(ranks: DataFrame) -> DataFrame:
-    """(prefix, depth, rank, parent, terminal, paths): the root is the empty prefix, of rank 0."""
-    r = F.col("ranks")
-    prefixes = ranks.select(r, F.explode(F.sequence(F.lit(0), F.size(r))).alias("depth"))
-    prefixes = prefixes.select(F.slice("ranks", 1, F.col("depth")).alias("prefix"), "depth", (F.col("depth") == F.size("ranks")).alias("end"))
-    out = prefixes.groupBy("prefix", "depth").agg(F.max("end").alias("terminal"), F.count("*").alias("paths"))
-    rank = F.coalesce(F.get("prefix", F.col("depth") - 1), F.lit(0)).cast("long")
-    return out.select("prefix", "depth", rank.alias("rank"), F.when(F.col("depth") > 0, F.slice("prefix", 1, F.col("depth") - 1)).alias("parent"), "terminal", "paths")
+def _product_bits(items: str, most_bits: int = 81) -> Column:
+    """Bit lengths, at most 81, of the products of an array's beginnings; first of the empty one, 1."""
+    top = F.lit(str(1 << most_bits)).cast(arith.WIDE)
+    more = lambda acc, x: F.concat(acc, F.array(F.least((F.element_at(acc, -1) * x.cast("decimal(18,0)")).cast(arith.WIDE), top)))
+    running = F.aggregate(items, F.array(F.lit(1).cast(arith.WIDE)), more)
+    return F.transform(running, lambda v: F.least(arith.bits_wide(v), F.lit(most_bits)).cast("int"))
+
+
+def nodes(ranks: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(node, up, depth, rank, parent_rank, index, pbits, above, terminal, paths[, prefix]): the root is the empty prefix, of rank 0.
+
+    node and up are 64-bit hashes of a prefix and of its parent; with depth and rank beside them they name a node, and all joins
+    go by them. pbits and above: bit lengths of the products of the prefix's items and of its parent's.
+    """
+    rows = ranks.select("ranks", "indexes", _product_bits("items").alias("bits")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("ranks"))))
+    d = F.col("depth")
+    at = lambda c, k: F.get(c, d - k)
+    own = [F.slice("ranks", 1, d).alias("prefix")] if prefixes else []
+    rows = rows.select(
+        F.xxhash64(F.slice("ranks", 1, d)).alias("node"),
+        F.when(d > 0, F.xxhash64(F.slice("ranks", 1, F.greatest(d - 1, F.lit(0))))).alias("up"),
+        "depth",
+        F.coalesce(at("ranks", 1), F.lit(0)).cast("long").alias("rank"),
+        F.coalesce(at("ranks", 2), F.lit(0)).cast("long").alias("parent_rank"),
+        at("indexes", 1).alias("index"),
+        at("bits", 0).alias("pbits"),
+        at("bits", 1).alias("above"),
+        *own,
+        (d == F.size("ranks")).alias("end"),
+    )
+    return rows.groupBy(*(c for c in rows.columns if c != "end")).agg(F.max("end").alias("terminal"), F.count("*").alias("paths"))
 
 
 def children(node_rows: DataFrame) -> DataFrame:
     """Adds to every node but the root: sibling (from 0), siblings, before (previous sibling's rank, or the parent's), gap; to all: c."""
-    inner = node_rows.where("depth > 0")
-    by = Window.partitionBy("parent").orderBy("rank")
-    parent_rank = F.coalesce(F.get("parent", F.size("parent") - 1), F.lit(0)).cast("long")
-    inner = inner.withColumn("sibling", F.row_number().over(by) - 1).withColumn("siblings", F.count("*").over(Window.partitionBy("parent")))
-    inner = inner.withColumn("before", F.coalesce(F.lag("rank").over(by), parent_rank)).withColumn("gap", F.col("rank") - F.col("before"))
-    counts = inner.groupBy(F.col("parent").alias("prefix")).agg(F.count("*").alias("c"))
-    root = node_rows.where("depth = 0").withColumns({"sibling": F.lit(None).cast("int"), "siblings": F.lit(None).cast("long"), "before": F.lit(None).cast("long"), "gap": F.lit(None).cast("long")})
-    return inner.unionByName(root).join(counts, "prefix", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    parent = Window.partitionBy("up", "depth")
+    by = parent.orderBy("rank")
+    inner = F.col("depth") > 0
+    rows = node_rows.withColumn("sibling", F.when(inner, F.row_number().over(by) - 1)).withColumn("siblings", F.when(inner, F.count("*").over(parent)))
+    rows = rows.withColumn("before", F.when(inner, F.coalesce(F.lag("rank").over(by), F.col("parent_rank")))).withColumn("gap", F.col("rank") - F.col("before"))
+    counts = node_rows.where("depth > 0").groupBy(F.col("up").alias("node"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("c"))
+    return rows.join(counts, ["node", "depth"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
 
 
 def bucket(c: Column) -> Column:
     return F.when(c <= 1, 0).when(c <= 3, 1).when(c <= 15, 2).otherwise(3)
 
 
-def products(child_rows: DataFrame, order: DataFrame, most_bits: int = 81) -> DataFrame:
-    """(prefix, pbits): bit length, at most 81, of the product of the items on the path; 1 for the root."""
-    own = child_rows.select("prefix", F.explode_outer("prefix").alias("rank")).join(order.select("rank", "item"), "rank", "left")
-    own = own.groupBy("prefix").agg(F.collect_list("item").alias("items"))
-    top = F.lit(str(1 << most_bits)).cast(arith.WIDE)
-    value = F.aggregate("items", F.lit(1).cast(arith.WIDE), lambda acc, x: F.least((acc * x.cast("decimal(18,0)")).cast(arith.WIDE), top))
-    return own.select("prefix", F.least(arith.bits_wide(value), F.lit(most_bits)).cast("int").alias("pbits"))
+def _symbols(rows: DataFrame, *symbols: Column) -> DataFrame:
+    """A row for each symbol (a struct, or null) of each row."""
+    return rows.select(F.explode(F.array_compact(F.array(*symbols))).alias("s")).select("s.*")
 
 
 def set1_symbols(child_rows: DataFrame, order: DataFrame, deepest: int) -> DataFrame:
     """(ctx, sym): count, flag and gap symbols of the tree under context set 1."""
     m = order.count()
-    vidx = child_rows.join(order.select("rank", "value_index"), "rank", "left").withColumn("value_index", F.coalesce("value_index", F.lit(m + 1)))
-    flags = 82 + (deepest + 1) * 42
-    count = vidx.select((82 + F.col("depth") * 42 + arith.cap(F.col("value_index"), 41)).cast("long").alias("ctx"), F.least("c", F.lit(COUNT_MOST)).alias("sym"))
-    flag = child_rows.where("c > 0 and depth > 0").select((flags + F.col("depth") - 1).cast("long").alias("ctx"), F.col("terminal").cast("long").alias("sym"))
-    parent_rank = F.coalesce(F.get("parent", F.size("parent") - 1), F.lit(0)).cast("long")
-    gap = child_rows.where("depth > 0").select((flags + deepest + ((F.col("depth") - 1) * 4 + bucket(F.col("siblings"))) * 42 + arith.cap(parent_rank, 41)).cast("long").alias("ctx"), arith.bits(F.col("gap")).cast("long").alias("sym"))
-    return count.unionByName(flag).unionByName(gap)
+    depth, flags = F.col("depth"), 82 + (deepest + 1) * 42
+    symbol = lambda ctx, sym: F.struct(ctx.cast("long").alias("ctx"), sym.cast("long").alias("sym"))
+    count = symbol(82 + depth * 42 + arith.cap(F.coalesce("index", F.lit(m + 1)), 41), F.least("c", F.lit(COUNT_MOST)))
+    flag = F.when((F.col("c") > 0) & (depth > 0), symbol(flags + depth - 1, F.col("terminal")))
+    gap = F.when(depth > 0, symbol(flags + deepest + ((depth - 1) * 4 + bucket(F.col("siblings"))) * 42 + arith.cap(F.col("parent_rank"), 41), arith.bits(F.col("gap"))))
+    return _symbols(child_rows, count, flag, gap)
 
 
 def set2_symbols(child_rows: DataFrame, order: DataFrame) -> DataFrame:
     """(cls, key, sym): count (1), count tail (2), flag (3) and gap (4) symbols under context set 2."""
     m = order.count()
     ab = m.bit_length() + 1
-    rows = child_rows.join(products(child_rows, order), "prefix")
+    depth, c = F.col("depth"), F.col("c")
+    symbol = lambda cls, key, sym: F.struct(F.lit(cls).alias("cls"), key.cast("long").alias("key"), sym.cast("long").alias("sym"))
     first = F.coalesce((F.col("sibling") == 0).cast("int"), F.lit(0))
     after = F.coalesce(F.col("siblings") - F.col("sibling") - 1, F.lit(0))
-    k = (F.col("depth") * ab + arith.bits(F.col("rank"))) * 82 + F.col("pbits")
-    count = rows.select(F.lit(1).alias("cls"), ((k * 2 + first) * 14 + arith.cap(after, 13)).cast("long").alias("key"), F.least("c", F.lit(FIRST_MOST)).cast("long").alias("sym"))
-    tail = rows.where(F.col("c") >= FIRST_MOST).select(F.lit(2).alias("cls"), F.col("depth").cast("long").alias("key"), F.least("c", F.lit(COUNT_MOST)).cast("long").alias("sym"))
-    flag = rows.where("c > 0 and depth > 0").select(F.lit(3).alias("cls"), ((F.col("depth") - 1) * 4 + bucket(F.col("c"))).cast("long").alias("key"), F.col("terminal").cast("long").alias("sym"))
-    gap = _gaps(rows, m)
-    key = ((F.col("k") * ab + F.col("room")) * 14 + arith.cap(F.col("left"), 13)) * 41 + F.floor(F.col("above") / 2)
-    gap = gap.select(F.lit(4).alias("cls"), key.cast("long").alias("key"), arith.bits(F.col("gap")).cast("long").alias("sym"))
-    return count.unionByName(tail).unionByName(flag).unionByName(gap)
-
-
-def _gaps(rows: DataFrame, m: int) -> DataFrame:
-    """Children with what their gap keys are made of: k, left (R), room (bits of (m - a) div R), above (bits of the parent's product)."""
+    k = (depth * ab + arith.bits(F.col("rank"))) * 82 + F.col("pbits")
+    count = symbol(1, (k * 2 + first) * 14 + arith.cap(after, 13), F.least("c", F.lit(FIRST_MOST)))
+    tail = F.when(c >= FIRST_MOST, symbol(2, depth, F.least("c", F.lit(COUNT_MOST))))
+    flag = F.when((c > 0) & (depth > 0), symbol(3, (depth - 1) * 4 + bucket(c), F.col("terminal")))
+    left, room, k, _ = _gap_parts(m)
+    gap = F.when(depth > 0, symbol(4, ((k * ab + room) * 14 + arith.cap(left, 13)) * 41 + arith.quotient(F.col("above"), F.lit(2)), arith.bits(F.col("gap"))))
+    return _symbols(child_rows, count, tail, flag, gap)
+
+
+def _gap_parts(m: int) -> tuple[Column, Column, Column, Column]:
+    """What gap keys are made of: left (R), room (bits of (m - a) div R), k, and whether the child is the first."""
     ab = m.bit_length() + 1
-    parents = rows.select(F.col("prefix").alias("parent"), F.col("pbits").alias("above"))
-    inner = rows.where("depth > 0").join(parents, "parent").withColumn("left", F.col("siblings") - F.col("sibling"))
+    left = F.col("siblings") - F.col("sibling")
     first = (F.col("sibling") == 0).cast("int")
-    room = arith.bits(F.floor((m - F.col("before")) / F.col("left")).cast("long"))
+    room = arith.bits(arith.quotient(m - F.col("before"), left))
     k = (((F.col("depth") - 1) * 4 + bucket(F.col("siblings"))) * 2 + first) * ab + arith.bits(F.col("before"))
-    return inner.withColumns({"k": k, "room": room, "is_first": first})
+    return left, room, k, first
 
 
 def mantissa_symbols(child_rows: DataFrame, order: DataFrame) -> DataFrame:
     """(key, sym, vb): context set 3's mantissa of tree gaps of two bits or more."""
     m = order.count()
     ab = m.bit_length() + 1
-    rows = _gaps(child_rows.join(products(child_rows, order), "prefix"), m)
-    length = arith.bits(F.col("gap"))
+    _, room, _, first = _gap_parts(m)
+    rows, length = child_rows.where("depth > 0"), arith.bits(F.col("gap"))
     vb = F.when(length <= 12, length - 1).otherwise(4)
-    b = F.when(F.col("before") < 1024, F.col("before") + 1024 * F.col("is_first")).otherwise(2048 + (((F.col("depth") - 1) * 2 + F.col("is_first")) * ab + arith.bits(F.col("before"))) * ab + F.col("room"))
+    b = F.when(F.col("before") < 1024, F.col("before") + 1024 * first).otherwise(2048 + (((F.col("depth") - 1) * 2 + first) * ab + arith.bits(F.col("before"))) * ab + room)
     power = lambda e: F.pow(F.lit(2.0), e).cast("long")
     value = F.floor((F.col("gap") - power(length - 1)) / power(length - 1 - vb))
     return rows.where(length >= 2).select((b * 64 + length).cast("long").alias("key"), value.cast("long").alias("sym"), vb.cast("int").alias("vb"))

@@ -36,12 +36,12 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.baskets(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
-def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def built(spark: SparkSession, sf_dir: str, prefixes: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Order, ranked paths, nodes with their children's figures."""
     p = paths(spark, sf_dir).persist()  # each is read by several jobs
     order = tree.item_order(tree.item_counts(p).persist()).persist()
-    ranks = tree.ranked_paths(p, order).persist()
-    return order, ranks, tree.children(tree.nodes(ranks)).persist()
+    ranks = tree.ranked_paths(p, order)
+    return order, ranks, tree.children(tree.nodes(ranks, prefixes))
 
 
 def _joined(c: str):
@@ -96,7 +96,7 @@ def _(spark, d):
 
 @query("tree_nodes", ORDER_SQL + " select array_to_string(prefix, ' ') as prefix, depth, rank, terminal, paths from nr")
 def _(spark, d):
-    return built(spark, d)[2].select(_joined("prefix").alias("prefix"), "depth", "rank", "terminal", "paths")
+    return built(spark, d, True)[2].select(_joined("prefix").alias("prefix"), "depth", "rank", "terminal", "paths")
 
 
 @query("tree_levels", ORDER_SQL + " select depth, count(*) as nodes, count(*) filter (terminal) as terminals, sum(c)::bigint as children, sum(paths)::bigint as paths from ch group by 1")
@@ -106,13 +106,13 @@ def _(spark, d):
 
 @query("tree_children_gaps", ORDER_SQL + " select array_to_string(prefix, ' ') as prefix, sibling::int as sibling, siblings, before, gap from ch where depth > 0")
 def _(spark, d):
-    return built(spark, d)[2].where("depth > 0").select(_joined("prefix").alias("prefix"), "sibling", "siblings", "before", "gap")
+    return built(spark, d, True)[2].where("depth > 0").select(_joined("prefix").alias("prefix"), "sibling", "siblings", "before", "gap")
 
 
 @query("count_symbols", ORDER_SQL + " select array_to_string(prefix, ' ') as prefix, c, least(c, 4095) as set1, least(c, 63) as set2, case when c >= 63 then least(c, 4095) end as tail, case when c >= 4095 then c - 4094 end as escape from ch")
 def _(spark, d):
     c = F.col("c")
-    return built(spark, d)[2].select(_joined("prefix").alias("prefix"), "c", F.least(c, F.lit(4095)).alias("set1"), F.least(c, F.lit(63)).alias("set2"), F.when(c >= 63, F.least(c, F.lit(4095))).alias("tail"), F.when(c >= 4095, c - 4094).alias("escape"))
+    return built(spark, d, True)[2].select(_joined("prefix").alias("prefix"), "c", F.least(c, F.lit(4095)).alias("set1"), F.least(c, F.lit(63)).alias("set2"), F.when(c >= 63, F.least(c, F.lit(4095))).alias("tail"), F.when(c >= 4095, c - 4094).alias("escape"))
 
 
 @query("raw_tree_bits", ORDER_SQL + " select sum(length(bin(gap)) - 1)::bigint as raw_bits from ch where depth > 0")
