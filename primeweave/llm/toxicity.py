@@ -113,10 +113,11 @@ class Curve:
 
 
 def _neighbours(batches):
-    """Distinct (word or beginning of one, hash of its neighbours, label) of a batch."""
+    """Distinct (word or beginning of one, hash of its neighbours, label) of a few texts."""
     import xxhash
 
-    for batch in batches:
+    at_work("toxicity")
+    for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):  # a set of a text's tuples is many times its size
         seen = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             w = ["", *_CUT.split(text.lower()), ""]
@@ -130,6 +131,7 @@ def _neighbours(batches):
 
 def _windows(batches):
     """A text's windows in one value, parted by a byte that ends a window wherever it stands."""
+    at_work("toxicity")
     for batch in batches:
         for text in batch.column("text"):
             yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(windows(_plain(text.as_py())))], pa.binary())], ["w"])
@@ -143,6 +145,7 @@ def _found(expressions: list[str]):
     words = re.compile(rf"(?<!\w)(?:{longest})[^\s.,;:!?|]*")
 
     def run(batches):
+        at_work("toxicity")
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
@@ -164,6 +167,7 @@ def _trained(size: int, samples: list[bytes], otherwise: bytes, **how) -> bytes:
 
 
 def _figures_of(distances: Distances, batches):
+    at_work("toxicity")
     for batch in batches:
         rows = [figures(distances.of(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
