@@ -250,6 +250,8 @@ class RansDecoder:
         if len(data) < 4:
             raise FormatError("a block is too short")
         self.state, self.data, self.at = int.from_bytes(data[:4], "big"), data, 4
+        if not RANS_LOW <= self.state < RANS_LOW << 8:
+            raise FormatError("a block begins with an impossible state")
 
     def get(self, model: Model) -> int:
         slot = self.state & ((1 << PROB_BITS) - 1)
