@@ -9,8 +9,8 @@ SKETCH counters, counted over all lines, gives each its class (three to an octav
 within. Two
 matching lines of n and m tokens share one in the first n - ceil(SIMILAR * n) + 1 and m - ceil(SIMILAR * m) + 1; so prefixes are
 joined on their tokens, pairs whose lengths or token places can't reach the overlap they need are dropped, and the others
-verified on all tokens. A group of near copies is not paired with itself: first STARS early lines of each token are held against
-the others; then, for lines that this has not removed, the lines before them.
+verified on all tokens. A group of near copies is not paired with itself: of a token that many lines share, first STARS early
+lines are held against the others; then, for lines that this has not removed, the lines before them.
 
 Lines without a word match nothing and stay. Null text stays null; ids that are null come first. Rows may repeat: the second of
 two equal rows comes later. An empty table gives no rows. Words and tokens are
@@ -29,9 +29,9 @@ from primeweave.llm.shared import Stages, fits, numbered, replayable, small
 
 SIMILAR = 0.75
 SHINGLE = 5
-SKETCH = 1 << 16
-#: Earlier lines of each token, of different hash classes, that all lines with the token are held against first.
-STARS = 4
+SKETCH = 1 << 18
+#: Of a token that more than HUB lines share, STARS early lines, of different hash classes, are held against the others first.
+HUB, STARS = 32, 4
 #: What parts words beside the space.
 BLANKS = "\t\r\x0b\x0c"
 #: Words repeat: with a dictionary of this size their hashes take less than 8 bytes each on disk.
@@ -129,12 +129,13 @@ def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
     tokens = tokens.select("key", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, F.size("t") - _least(F.size("t")) + 1)).alias("place", "token"))
     by = Window.partitionBy("token")
     tokens = tokens.select("token", "key", (F.col("n").cast("long") * (1 << 32) + F.col("place")).alias("np")).withColumn("others", F.count("*").over(by)).where("others > 1")
-    tokens = tokens.select("token", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
+    tokens = tokens.select("token", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("place"), (F.col("others") > HUB).alias("hub"))
     shared = stages.put(tokens, "shared")
     tokens = stages.put(shared.join(first.select("key", "at"), "key"), "tokens")
     stages.drop(shared)
-    earliest = tokens.groupBy("token", F.pmod(F.xxhash64("key"), F.lit(STARS)).alias("star")).agg(F.min(F.struct("at", "key", "n", "place")).alias("e")).select("token", "e.*")
-    star = stages.put(_pairs(tokens, earliest, whole=False), "pairs")
+    hubs = tokens.where("hub")
+    earliest = hubs.groupBy("token", F.pmod(F.xxhash64("key"), F.lit(STARS)).alias("star")).agg(F.min(F.struct("at", "key", "n", "place")).alias("e")).select("token", "e.*")
+    star = stages.put(_pairs(hubs, earliest, whole=False), "pairs")
     gone = _matched(stages, star, once)
     rest = stages.put(_pairs(tokens.join(gone, "key", "left_anti"), tokens, whole=True).join(star, ["key", "before"], "left_anti").select("key", "before"), "pairs")
     stages.drop(tokens, star)

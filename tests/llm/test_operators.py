@@ -407,7 +407,9 @@ def removed_by_brute_force(docs):
     return sorted(out, key=lambda r: (r[0], str(r[1])))
 
 
-def test_lines(spark, odd_docs, odd_texts, no_docs):
+@pytest.mark.parametrize("hub", [32, 1])
+def test_lines(spark, odd_docs, odd_texts, no_docs, monkeypatch, hub):
+    monkeypatch.setattr(line_dedup, "HUB", hub)
     r = random.Random(7)
     docs = []
     for k in range(120):
