@@ -120,6 +120,17 @@ def _(spark, d):
     return tree.raw_bits(built(spark, d)[2]).select(F.col("raw_bits").cast("long").alias("raw_bits"))
 
 
+STREAM_SQL = ORDER_SQL + """, ev as (select prefix, 0 as phase, 4 as cls, length(bin(gap)) as sym, length(bin(gap)) - 1 as w from ch where depth > 0
+ union all select prefix, 1, 1, least(c, 63), case when c >= 4095 then 2 * length(bin(c - 4094)) - 1 else 0 end from ch
+ union all select prefix, 2, 2, least(c, 4095), 0 from ch where c >= 63
+ union all select prefix, 3, 3, terminal::bigint, 0 from ch where c > 0 and depth > 0)"""
+
+
+@query("tree_stream", STREAM_SQL + " select row_number() over (order by prefix, phase) - 1 as position, cls::int as cls, sym::bigint as sym, (sum(w) over (order by prefix, phase) - w)::bigint as raw_at, w::bigint as raw_width from ev")
+def _(spark, d):
+    return tree.stream(built(spark, d, True)[2].persist())
+
+
 @query("table_gaps", ORDER_SQL + " select class_id, item, value_index - 1 as position, value_index - 1 - coalesce(lag(value_index - 1) over (partition by class_id order by value_index), -1) as gap from o")
 def _(spark, d):
     return tree.table_gaps(tree.item_order(tree.item_counts(paths(spark, d)).persist()))
