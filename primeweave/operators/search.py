@@ -56,13 +56,17 @@ def _tree(rows: DataFrame):
 
 
 def objective(rows: DataFrame) -> float:
-    """Bits of the tree of the chosen paths: entropies of its symbols under context set 2 and the raw bits of its gaps."""
+    """Bits of the tree of the chosen paths under context set 2: entropies of its symbols, raw bits, stored models, class sizes."""
     with _tree(rows) as (order, ranks):
         nodes = tree.children(tree.nodes(ranks, prefixes=False)).persist()
-        e = lists.entropy(tree.histogram(tree.set2_symbols(nodes, order), "cls", "key"), "cls", "key").agg(F.sum("entropy_bits")).first()[0]
+        counts = tree.histogram(tree.set2_symbols(nodes, order), "cls", "key").persist()
+        e = lists.entropy(counts, "cls", "key").agg(F.sum("entropy_bits")).first()[0]
+        models = tree.class_costs(tree.quantized(counts, "cls", "key")).agg(F.sum("table_bytes")).first()[0]
         raw = tree.raw_bits(nodes).first()[0]
-        nodes.unpersist()
-    return float(e or 0) + float(raw or 0)
+        classes = order.select("class_id", "class_size").distinct().agg(F.sum(arith.vbyte_length(F.col("class_size")))).first()[0]
+        for kept in (counts, nodes):
+            kept.unpersist()
+    return float(e or 0) + float(raw or 0) + 8.0 * (models or 0) + 8.0 * (classes or 0)
 
 
 def prices(rows: DataFrame, order: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from primeweave.functions import arith
-from primeweave.operators.lists import ranked, rebuilt
+from primeweave.operators.lists import ranked, rebuilt, with_previous
 
 #: Set-1 contexts: counts saturate here; sets 2 and 3 use a first symbol that saturates earlier, and a tail.
 COUNT_MOST, FIRST_MOST = 4095, 63
@@ -216,3 +216,28 @@ def _taken(frame):
         freq[freq.argmax()] -= 1
     frame["freq"] = freq
     return frame.drop(columns=["base", "short"])
+
+
+def model_sizes(freqs: DataFrame, *key: str) -> DataFrame:
+    """(key..., symbols, n, size, ideal_bits) of quantised models: bytes of a stored model, and bits of its symbols under it."""
+    step = F.col("sym") - F.coalesce(F.lag("sym").over(Window.partitionBy(*key).orderBy("sym")), F.lit(0))
+    rows = freqs.withColumn("bytes", arith.vbyte_length(step) + arith.vbyte_length(F.col("freq") - 1))
+    sums = rows.groupBy(*key).agg(F.count("*").alias("symbols"), F.sum("cnt").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.col("cnt") * (16 - F.log2("freq"))).alias("ideal_bits"))
+    return sums.select(*key, "symbols", "n", (F.col("bytes") + arith.vbyte_length(F.col("symbols"))).alias("size"), "ideal_bits")
+
+
+def class_costs(freqs: DataFrame) -> DataFrame:
+    """(cls, keys, n, table_bytes, ideal_bits): what the models of each class of contexts cost, for freqs(cls, key, sym, cnt, freq)."""
+    at = (F.col("cls").cast("long") * (1 << 58) + F.col("key")).alias("at")  # keys stay far below 2**58
+    models = model_sizes(freqs, "cls", "key").select("cls", "key", "n", "size", "ideal_bits", at)
+    rows = with_previous(models, "at")
+    gap = F.col("key") - F.coalesce(F.when(arith.quotient(F.col("previous"), F.lit(1 << 58)) == F.col("cls"), F.col("previous") % (1 << 58)), F.lit(0))
+    sums = rows.groupBy("cls").agg(F.count("*").alias("keys"), F.sum("n").alias("n"), F.sum(F.col("size") + arith.vbyte_length(gap)).alias("bytes"), F.sum("ideal_bits").alias("ideal_bits"))
+    return sums.select("cls", "keys", "n", (F.col("bytes") + arith.vbyte_length(F.col("keys"))).alias("table_bytes"), "ideal_bits")
+
+
+def kept_mantissas(symbols: DataFrame) -> DataFrame:
+    """(key, symbols, n, kept): whether a mantissa context's model saves more than it costs, for symbols(key, sym, vb)."""
+    freqs = quantized(histogram(symbols.select("key", "sym", "vb"), "key", "vb"), "key", "vb")
+    gain = F.col("vb") * F.col("n") - F.col("ideal_bits") - 8 * (F.col("size") + 3)
+    return model_sizes(freqs, "key", "vb").select("key", "symbols", "n", (gain > 0).alias("kept"))

@@ -200,6 +200,34 @@ def _(spark, d):
     return tree.quantized(tree.histogram(tree.set1_symbols(rows, order, deepest), "ctx"), "ctx")
 
 
+_VBYTE = "greatest(1, ceil(length(bin({v})) / 7.0))"
+
+
+def _model_sql(histogram: str, keys: str) -> str:
+    """Quantised models of a histogram relation and their sizes, by keys."""
+    return f""", ex as (select *, cnt / sum(cnt) over (partition by {keys})::double * 65536.0 as exact from {histogram}),
+ bs as (select *, greatest(1, floor(exact))::bigint as base from ex), sh as (select *, 65536 - sum(base) over (partition by {keys}) as short, row_number() over (partition by {keys} order by exact - base desc, sym desc) as turn, count(*) over (partition by {keys}) as sy from bs),
+ fr as (select *, (base + short // sy + case when turn <= short % sy then 1 else 0 end)::bigint as freq, sym - coalesce(lag(sym) over (partition by {keys} order by sym), 0) as step from sh),
+ mo as (select {keys}, count(*) as symbols, sum(cnt)::bigint as n, (sum({_VBYTE.format(v="step")} + {_VBYTE.format(v="freq - 1")}) + {_VBYTE.format(v="count(*)")})::bigint as size, sum(cnt * (16 - log2(freq))) as ideal from fr group by {keys})"""
+
+
+COST_SQL = SET2_SQL + _model_sql("h2", "cls, key") + f""", kg as (select *, key - coalesce(lag(key) over (partition by cls order by key), 0) as kgap from mo)
+ select cls, count(*) as keys, sum(n)::bigint as n, (sum(size + {_VBYTE.format(v="kgap")}) + {_VBYTE.format(v="count(*)")})::bigint as table_bytes, round(sum(ideal), 2) as ideal_bits from kg group by 1"""
+
+
+@query("table_costs", COST_SQL)
+def _(spark, d):
+    order, _, rows = built(spark, d)
+    freqs = tree.quantized(tree.histogram(tree.set2_symbols(rows, order), "cls", "key"), "cls", "key")
+    return tree.class_costs(freqs).select("cls", "keys", "n", F.col("table_bytes").cast("long").alias("table_bytes"), F.round("ideal_bits", 2).alias("ideal_bits"))
+
+
+@query("mantissa_kept", MANTISSA_SQL + ", hm as (select key, vb, sym, count(*) as cnt from ms group by 1, 2, 3)" + _model_sql("hm", "key, vb") + " select key::bigint as key, symbols, n, vb * n - ideal - 8 * (size + 3) > 0 as kept from mo")
+def _(spark, d):
+    order, _, rows = built(spark, d)
+    return tree.kept_mantissas(tree.mantissa_symbols(rows, order))
+
+
 TWO_SQL = "with a as (select distinct l_orderkey as item from lineitem where l_returnflag = 'A'), b as (select distinct l_orderkey as item from lineitem where l_returnflag = 'R')"
 
 
