@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from primeweave import shared_folder
 from primeweave.functions import arith
 from primeweave.operators import divisors
 from primeweave.plans import lists, numbers
@@ -15,9 +16,7 @@ from primeweave.sources import files
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    """In the shared folder: of the checkpoints, else of the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def odd(spark: SparkSession, d: str) -> DataFrame:
