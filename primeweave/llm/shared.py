@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
 import time
 import uuid
 from functools import reduce
@@ -15,9 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave import importable
+from primeweave import importable, shared_folder
 
-_OWN: dict[str, str] = {}
 #: What operators remember in a worker, by operator.
 _REMEMBERED: dict[str, dict] = {}
 #: Rows of an Arrow batch: texts are long, and a batch is held a few times over.
@@ -49,15 +47,6 @@ def batch_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one that is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="stages-"))
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
