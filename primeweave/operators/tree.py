@@ -23,6 +23,11 @@ def baskets(rows: DataFrame, group: str, item: str) -> DataFrame:
     return rows.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("path")).select("path").distinct()
 
 
+def named_baskets(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(path, id): the same, each with the smallest of its groups."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("path")).groupBy("path").agg(F.min(group).alias("id"))
+
+
 def item_counts(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode("path").alias("item")).groupBy("item").agg(F.count("*").alias("cnt"))
 
@@ -42,11 +47,14 @@ def item_order(counts: DataFrame) -> DataFrame:
     return ranked(order, "item", name="value_index").withColumn("value_index", F.col("value_index") + 1).select("item", "cnt", "rank", "class_id", "class_size", "value_index")
 
 
-def ranked_paths(paths: DataFrame, order: DataFrame) -> DataFrame:
-    """(path, ranks, items, indexes): each set with its ranks, ascending, and the items and value indexes in their order."""
-    own = paths.select("path", F.explode("path").alias("item")).join(order.select("item", "rank", "value_index"), "item")
-    own = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "value_index"))).alias("own"))
-    return own.select("path", F.col("own.rank").alias("ranks"), F.col("own.item").alias("items"), F.col("own.value_index").alias("indexes"))
+def ranked_paths(paths: DataFrame, order: DataFrame, by: str = "path") -> DataFrame:
+    """(path, ranks, items, indexes): each set with its ranks, ascending, and the items and value indexes in their order.
+
+    by: a narrower column that tells the sets apart, which is then given instead of the path.
+    """
+    own = paths.select(by, F.explode("path").alias("item")).join(order.select("item", "rank", "value_index"), "item")
+    own = own.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "item", "value_index"))).alias("own"))
+    return own.select(by, F.col("own.rank").alias("ranks"), F.col("own.item").alias("items"), F.col("own.value_index").alias("indexes"))
 
 
 def _product_bits(items: str, most_bits: int = 81) -> Column:

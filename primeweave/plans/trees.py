@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primeweave.operators import compare, lists, tree
+from primeweave.operators import compare, lists, tree, walk
 from primeweave.plans.registry import query, table
+from primeweave.stages import Stages
 
 PATH_SQL = "with recursive b as (select l_orderkey, list(distinct l_partkey order by l_partkey) as path from lineitem group by 1), p as (select distinct path from b)"
 ORDER_SQL = PATH_SQL + """,
@@ -44,6 +45,18 @@ def built(spark: SparkSession, sf_dir: str, prefixes: bool = False) -> tuple[Dat
     return order, ranks, tree.children(tree.nodes(ranks, prefixes))
 
 
+def _chunked(spark: SparkSession, sf_dir: str, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """Order, and the sorted paths in chunks; each step is staged, for several jobs read it."""
+    p = stages.put(tree.named_baskets(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), "paths")
+    counts = stages.put(tree.item_counts(p), "counts")
+    order = stages.put(tree.item_order(counts), "order")
+    ranks = stages.put(tree.ranked_paths(p, order, "id"), "ranks")
+    stages.drop(p, counts)
+    out = walk.chunks(stages, ranks)
+    stages.drop(ranks)
+    return order, out
+
+
 def _joined(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
@@ -217,8 +230,11 @@ COST_SQL = SET2_SQL + _model_sql("h2", "cls, key") + f""", kg as (select *, key
 
 @query("table_costs", COST_SQL)
 def _(spark, d):
-    order, _, rows = built(spark, d)
-    freqs = tree.quantized(tree.histogram(tree.set2_symbols(rows, order), "cls", "key"), "cls", "key")
+    stages = Stages(spark)
+    order, staged = _chunked(spark, d, stages)
+    symbols = stages.put(tree.histogram(tree.set2_symbols(walk.nodes(staged), order), "cls", "key"), "histogram")
+    stages.drop(staged)
+    freqs = stages.put(tree.quantized(symbols, "cls", "key"), "freqs")
     return tree.class_costs(freqs).select("cls", "keys", "n", F.col("table_bytes").cast("long").alias("table_bytes"), F.round("ideal_bits", 2).alias("ideal_bits"))
 
 
