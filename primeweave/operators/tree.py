@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from primeweave.functions import arith
-from primeweave.operators.lists import ranked, rebuilt, with_previous
+from primeweave.operators.lists import ranked, with_previous
 
 #: Set-1 contexts: counts saturate here; sets 2 and 3 use a first symbol that saturates earlier, and a tail.
 COUNT_MOST, FIRST_MOST = 4095, 63
@@ -161,25 +161,6 @@ def mantissa_symbols(child_rows: DataFrame, order: DataFrame) -> DataFrame:
     return rows.where(length >= 2).select((b * 64 + length).cast("long").alias("key"), value.cast("long").alias("sym"), vb.cast("int").alias("vb"))
 
 
-def stream(child_rows: DataFrame) -> DataFrame:
-    """(position, cls, sym, raw_at, raw_width): the tree's symbols in pre-order, and where the raw bits of each stand.
-
-    Of a node first its gap (4), then its count (1), the count's tail (2), its flag (3); nodes by their prefixes, which is
-    pre-order. child_rows hold the prefixes. Positions and offsets come from ranges of the first rank, so no task holds all.
-    """
-    c, depth, none = F.col("c"), F.col("depth"), F.lit(0).cast("long")
-    event = lambda phase, cls, sym, width: F.struct(F.lit(phase).alias("phase"), F.lit(cls).alias("cls"), sym.cast("long").alias("sym"), width.cast("long").alias("raw_width"))
-    gap = F.when(depth > 0, event(0, 4, arith.bits(F.col("gap")), arith.bits(F.col("gap")) - 1))
-    escape = F.when(c >= COUNT_MOST, 2 * arith.bits(c - COUNT_MOST + 1) - 1).otherwise(0)
-    count = event(1, 1, F.least("c", F.lit(FIRST_MOST)), escape)
-    tail = F.when(c >= FIRST_MOST, event(2, 2, F.least("c", F.lit(COUNT_MOST)), none))
-    flag = F.when((c > 0) & (depth > 0), event(3, 3, F.col("terminal"), none))
-    rows = child_rows.select("prefix", F.coalesce(F.get("prefix", F.lit(0)), none).alias("first"), F.explode(F.array_compact(F.array(gap, count, tail, flag))).alias("e"))
-    rows = ranked(rows.select("prefix", "first", "e.*"), "first", F.col("prefix").asc(), F.col("phase").asc(), name="position").select("position", "cls", "sym", "raw_width")
-    ends = rebuilt(rows, "position", "raw_width")
-    return rows.join(ends, "position").select("position", "cls", "sym", (F.col("value") - F.col("raw_width")).alias("raw_at"), "raw_width")
-
-
 def raw_bits(child_rows: DataFrame) -> DataFrame:
     """One row: bits of tree gaps below their leading ones."""
     return child_rows.where("depth > 0").agg(F.sum(arith.bits(F.col("gap")) - 1).alias("raw_bits"))

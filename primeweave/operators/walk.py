@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from primeweave.operators.tree import COUNT_MOST, FIRST_MOST
+
 #: Items of a chunk at least, and chunks at most, about.
 ITEMS, CHUNKS = 200_000, 2000
 #: Rows of an Arrow batch sent to the JVM.
@@ -225,3 +227,41 @@ def nodes(staged: DataFrame) -> DataFrame:
             yield from _sent([pa.array(v[c], kinds[k], mask=root if c in inner_only else None) for c, k in _NODE.items()], list(_NODE))
 
     return staged.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in _NODE.items()))
+
+
+def _bits(v: np.ndarray) -> np.ndarray:
+    """Bit lengths of whole numbers below 2**53."""
+    return np.frexp(np.maximum(v, 0).astype(np.float64))[1].astype(np.int64)
+
+
+def _events(v: dict[str, np.ndarray], first_most: int, count_most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, symbol, width) of a chunk's symbols: of a node its gap (4), its count (1), the count's tail (2), its flag (3)."""
+    c, inner, length = v["c"], v["depth"] > 0, _bits(v["gap"])
+    none = np.zeros(len(c), np.int64)
+    shown = np.c_[inner, np.ones(len(c), bool), c >= first_most, (c > 0) & inner]
+    symbols = np.c_[length, np.minimum(c, first_most), np.minimum(c, count_most), v["terminal"].astype(np.int64)]
+    widths = np.c_[length - 1, np.where(c >= count_most, 2 * _bits(c - count_most + 1) - 1, 0), none, none]
+    return np.broadcast_to(np.array([4, 1, 2, 3], np.int32), shown.shape)[shown], symbols[shown], widths[shown]
+
+
+def stream(staged: DataFrame, first_most: int = FIRST_MOST, count_most: int = COUNT_MOST) -> DataFrame:
+    """(position, cls, sym, raw_at, raw_width): the tree's symbols in pre-order, and where the raw bits of each stand."""
+    walked = _walked(staged, edges(staged))
+
+    def sums(batches):
+        for key, v in walked(batches):
+            _, symbols, widths = _events(v, first_most, count_most)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), *(pa.array([int(x)], pa.int64()) for x in (len(symbols), widths.sum()))], ["part", "seq", "n", "bits"])
+
+    begins, n, bits = {}, 0, 0
+    for r in sorted(staged.mapInArrow(sums, "part int, seq int, n long, bits long").collect()):  # a row a chunk
+        begins[r["part"], r["seq"]] = n, bits
+        n, bits = n + r["n"], bits + r["bits"]
+    held = staged.sparkSession.sparkContext.broadcast(begins)
+
+    def run(batches):
+        for key, v in walked(batches):
+            (at, raw), (cls, symbols, widths) = held.value[key], _events(v, first_most, count_most)
+            yield from _sent([pa.array(x) for x in (at + np.arange(len(cls)), cls, symbols, raw + np.cumsum(widths) - widths, widths)], ["position", "cls", "sym", "raw_at", "raw_width"])
+
+    return staged.mapInArrow(run, "position long, cls int, sym long, raw_at long, raw_width long")

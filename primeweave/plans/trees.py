@@ -141,7 +141,7 @@ STREAM_SQL = ORDER_SQL + """, ev as (select prefix, 0 as phase, 4 as cls, length
 
 @query("tree_stream", STREAM_SQL + " select row_number() over (order by prefix, phase) - 1 as position, cls::int as cls, sym::bigint as sym, (sum(w) over (order by prefix, phase) - w)::bigint as raw_at, w::bigint as raw_width from ev")
 def _(spark, d):
-    return tree.stream(built(spark, d, True)[2].persist())
+    return walk.stream(_chunked(spark, d, Stages(spark))[1])
 
 
 @query("table_gaps", ORDER_SQL + " select class_id, item, value_index - 1 as position, value_index - 1 - coalesce(lag(value_index - 1) over (partition by class_id order by value_index), -1) as gap from o")
