@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,30 @@ def factor_columns(numbers: DataFrame, col: str, most: int) -> DataFrame:
     return out.withColumn("_rest", rest).withColumn("factors", F.concat("_small", tail)).drop("_small", "_rest")
 
 
+def squarefree_primes(numbers: DataFrame, col: str, most: int) -> DataFrame:
+    """(col, ps): the squarefree ones of integers of [2, most], with their primes, ascending; whole batches are divided by a prime at once."""
+    base = small_primes(math.isqrt(most) + 1).astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            rest, free, owners, found = n.copy(), np.ones(len(n), bool), [], []
+            for p in base[base * base <= n.max(initial=0)]:
+                hit = np.flatnonzero(n % p == 0)
+                rest[hit] //= p
+                free[hit] &= rest[hit] % p != 0
+                owners.append(hit)
+                found.append(np.full(len(hit), p))
+            left = np.flatnonzero(rest > 1)
+            owner, prime = np.concatenate([*owners, left]), np.concatenate([*found, rest[left]])
+            owner, prime = owner[free[owner]], prime[free[owner]]
+            offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(n))[free])].astype(np.int32)
+            ps = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prime[np.argsort(owner, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([pa.array(n[free]), ps], [col, "ps"])
+
+    return numbers.select(F.col(col).cast("long").alias(col)).mapInArrow(run, f"`{col}` long, ps array<long>")
+
+
 def factor_limited(numbers: DataFrame, col: str, limit: int) -> DataFrame:
     """Adds factors (struct p, e) of primes up to the limit, and what is left as cofactor: 1, a prime or a composite."""
     n = F.col(col).cast("long")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from primeweave import shared_folder
-from primeweave.functions import arith
+from primeweave.functions import arith, primes
 from primeweave.operators import divisors
 from primeweave.plans import lists, numbers
 from primeweave.plans.registry import query
 from primeweave.sources import files
+from primeweave.stages import Stages
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -31,7 +32,8 @@ def carmichael(spark: SparkSession, d: str) -> DataFrame:
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     """(n, factors) of the squarefree odd keys of three primes or more."""
-    return numbers.squarefree(spark, d).where(F.size("ps") >= 3).select(F.col("n").cast(arith.WIDE).alias("n"), F.col("ps").alias("factors"))
+    keys = numbers.keys(spark, d)
+    return primes.squarefree_primes(keys.where("n % 2 = 1"), "n", numbers.most(keys)).where(F.size("ps") >= 3).select(F.col("n").cast(arith.WIDE).alias("n"), F.col("ps").alias("factors"))
 
 
 ODD_SQL = "select distinct 2 * epoch_us(ts) + 1 as v from events"
@@ -100,8 +102,10 @@ def _(spark, d):
 
 def _tree(spark, d, kind):
     files.register(spark)
-    rows, path = records(spark, d), _path(spark, "pwt2")
+    stages, path = Stages(spark), _path(spark, "pwt2")
+    rows = stages.put(records(spark, d), "records")
     files.write_pwt2(rows, path, files.n_targets(rows), full=True, kind=kind, column="factors")
+    stages.drop()
     return spark.read.format("pwt2").load(path).select(F.col("n").cast("long").alias("n"), F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
 
 

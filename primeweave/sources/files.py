@@ -395,9 +395,9 @@ def write_masks(masks: DataFrame, path: str, order: str = "n", column: str = "ma
 
 
 def write_pwt2(paths: DataFrame, path: str, targets: bytes, full: bool = False, kind: int | None = 3, column: str = "path") -> None:
-    """One stream, whose contexts depend on all before: coded by one task, in which the tree must fit."""
+    """One stream, whose contexts depend on all before: coded by one task, in which the tree must fit; what makes the paths isn't in it."""
     encode = lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([pwt2.encode([[int(x) for x in p] for b in batches for p in b.column("path").to_pylist()], targets, full, kind)], pa.binary())], ["data"])])
-    data = paths.select(F.col(column).alias("path")).coalesce(1).mapInArrow(encode, "data binary").first()["data"]
+    data = paths.select(F.col(column).alias("path")).repartition(1).mapInArrow(encode, "data binary").first()["data"]
     _store(paths.sparkSession, path, [bytes(data)])
 
 

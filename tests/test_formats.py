@@ -152,3 +152,22 @@ def test_paths_and_masks(chosen):
         formats.read_paths(data[:-1], 12)
     assert formats.read_masks(formats.masks([1, 2, 65535])) == [1, 2, 65535]
     assert [formats.sniff(x) for x in (formats.ORC1, b"PWT2....", b"zzzz")] == ["orc1", "pwt2", None]
+
+
+def test_only_the_coding_of_a_tree_is_one_task(spark, tmp_path):
+    """What makes the paths keeps its own tasks."""
+    from pyspark import TaskContext
+
+    from primeweave.sources import files
+
+    def made(frames):
+        (tmp_path / f"task-{TaskContext.get().taskAttemptId()}").touch()
+        for frame in frames:
+            yield frame.assign(path=[[3, int(p)] for p in frame["id"]])[["path"]]
+
+    paths = spark.createDataFrame([(p,) for p in (5, 7, 11, 13)], "id long").repartition(4, "id").mapInPandas(made, "path array<long>")
+    values = spark.createDataFrame([(3 * p,) for p in (5, 7, 11, 13)], "n long")
+    files.register(spark)
+    files.write_pwt2(paths, str(tmp_path / "tree"), files.n_targets(values), full=True, kind=None)
+    assert len(list(tmp_path.glob("task-*"))) > 1
+    assert sorted(int(r.n) for r in spark.read.format("pwt2").load(str(tmp_path / "tree")).collect()) == [15, 21, 33, 39]

@@ -157,3 +157,11 @@ def test_factor_columns(spark):
 def test_primes_between_windows(spark):
     got = sorted(r.p for r in primes.primes_between(spark, 100, 600_000).collect())
     assert got == [int(p) for p in primes.small_primes(600_000) if p >= 100]
+
+
+def test_squarefree_primes_are_those_of_trial_division(spark):
+    given_ = [*range(2, 700), 997 * 991, 31 * 31, 30030, 999983]
+    numbers = spark.createDataFrame([(n,) for n in given_], "n long")
+    want = {n: by_trial(n) for n in given_ if len(set(by_trial(n))) == len(by_trial(n))}
+    assert {r.n: r.ps for r in primes.squarefree_primes(numbers, "n", 999983).collect()} == want
+    assert primes.squarefree_primes(numbers.where("n < 0"), "n", 999983).count() == 0
