@@ -68,9 +68,12 @@ def _classes(lines: DataFrame) -> bytearray:
     each = lines.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
     token = F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(SHINGLE)))  # as _tokens(), but compiled
     counted = each.groupBy(F.pmod(token, F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
+    octave = F.least(F.floor(F.log2("c") * 3 + 1e-9), F.lit(127)).cast("int")
+    blocks = counted.groupBy(F.shiftright("k", 8)).agg(F.collect_list(F.col("k") * 128 + octave).alias("held"))  # 256 counters a row: a row each takes the driver 100 MB
     out = bytearray(SKETCH)
-    for r in counted.select("k", F.least(F.floor(F.log2("c") * 3 + 1e-9), F.lit(127)).cast("int").alias("octave")).collect():  # SKETCH rows at most
-        out[r["k"]] = r["octave"]
+    for r in blocks.select("held").collect():  # SKETCH / 256 rows at most
+        for v in r["held"]:
+            out[v >> 7] = v & 127
     return out
 
 

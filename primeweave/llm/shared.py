@@ -24,11 +24,16 @@ def remembers(name: str) -> dict:
 
 def at_work(name: str) -> None:
     """Called as an operator's task begins: a reused worker forgets what others remembered."""
-    import pyarrow as pa
-
     for other, what in _REMEMBERED.items():
         if other != name:
             what.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    import pyarrow as pa
+
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can give freed memory back

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from primeweave.llm.shared import Stages, at_work
+from primeweave.llm.shared import Stages, at_work, give_back
 
 TRAIN_DOCS = {1: 4000, 0: 8000}
 WINDOW, STRIDE = 80, 40
@@ -211,6 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: tuple[Distances, Curve] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, n_windows, n_beyond): a score of 0.5 or more predicts toxic."""
+    give_back()  # what the driver learnt from
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -639,3 +639,17 @@ def test_shingle_blocks(monkeypatch):
     monkeypatch.setattr(shingles, "BLOCK", 64)
     assert [s.tolist() for s in shingles.shingle_sets(pa.array(texts))] == whole
     assert [len(s) for s in whole[-4:]] == [0, 0, 1, 1]
+
+
+def test_the_sketch_comes_to_the_driver_in_few_rows(spark, monkeypatch):
+    """A row of Python a counter took the driver 100 MB."""
+    kind, rows = type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    lines = spark.range(3000).select(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.xxhash64("id", i)).alias("words"))
+    classes = line_dedup._classes(lines)
+    assert len(classes) == line_dedup.SKETCH and max(map(len, rows)) <= line_dedup.SKETCH // 256
+    counted = [0] * line_dedup.SKETCH
+    for r in collect(lines.select(F.explode(F.transform(line_dedup._tokens(), lambda t: F.pmod(t, F.lit(line_dedup.SKETCH)))).alias("k"))):
+        counted[r.k] += 1
+    assert list(classes) == [int(np.floor(np.log2(c) * 3 + 1e-9)) if c else 0 for c in counted]
