@@ -12,6 +12,7 @@ table gives no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import zlib
 
@@ -63,12 +64,11 @@ class WordIds(dict):
         """Remember words of letters, AT_ONCE of them in a call of the tokenizer, which is cheaper than one by one: each is one
         token group, numbered in order."""
         new = set()
-        for word in words:
-            if word not in self:
-                while (plainer := self.plainer(word)) is not None:
-                    word = plainer
-                if word.isalpha() and len(word) < 100 and word not in self and word.lower().isalpha():
-                    new.add(word)
+        for word in itertools.filterfalse(self.__contains__, words):
+            while not (word.isascii() and word.isalpha() and word.islower()) and (plainer := self.plainer(word)) is not None:
+                word = plainer
+            if word.isalpha() and len(word) < 100 and word not in self and word.lower().isalpha():
+                new.add(word)
         if len(self) + len(new) >= REMEMBERED:
             self.clear()
         new = list(new)
@@ -84,7 +84,7 @@ class WordIds(dict):
                     self[word] = raw[ends[k] : ends[k + 1]]
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode_all(self, texts: list[str]):
         """The ids of each text, in parts of about PART characters or one text, whose words are learnt together."""
@@ -95,9 +95,9 @@ class WordIds(dict):
                 split.append(texts[at].replace("\n", " ").split(" "))
                 size += len(texts[at])
                 at += 1
-            self.learn({w for words in split for w in words})
+            self.learn(set().union(*split))
             for words in split:
-                yield b"".join([self[w] for w in words])
+                yield b"".join(map(self.__getitem__, words))
 
 
 def word_ids(path: str) -> WordIds:
