@@ -32,10 +32,10 @@ SHINGLE = 5
 SKETCH = 1 << 18
 #: Of a token that more than HUB lines share, STARS early lines, of different hash classes, are held against the others first.
 HUB, STARS = 32, 4
+#: Tokens of its prefix that a line must share with others to be compared, if it has as many to share.
+AGREE = 2
 #: What parts words beside the space.
 BLANKS = "\t\r\x0b\x0c"
-#: Words repeat: with a dictionary of this size their hashes take less than 8 bytes each on disk.
-DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,13 +44,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(row, id, line, key, words): words by 64-bit hashes."""
+    """(row, id, line, key, said): lines of a word at least, lower-cased, their words parted by single spaces."""
     each = rows.select("row", "id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    each = each.where(F.ltrim("said", F.lit(" " + BLANKS)) != "")  # not by what is made of the line: the optimizer would make it for the filter once more
     other = [F.contains("said", F.lit(c)) for c in BLANKS]  # few lines hold any, and changing them is dear
     said = F.when(reduce(Column.__or__, other), F.translate("said", BLANKS, " " * len(BLANKS))).otherwise(F.col("said"))
-    words = F.array_remove(F.split(F.lower(said), " "), "")
-    each = each.select("row", "id", "line", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    return each.where(F.size("words") > 0).select("row", "id", "line", F.xxhash64("words").alias("key"), "words")
+    each = each.select("row", "id", "line", F.lower(said).alias("low"))
+    low = F.col("low")
+    ragged = low.contains("  ") | low.startswith(" ") | low.endswith(" ")
+    each = each.select("row", "id", "line", F.when(ragged, F.array_join(F.array_remove(F.split(low, " "), ""), " ")).otherwise(low).alias("said"))
+    return each.select("row", "id", "line", F.xxhash64("said").alias("key"), "said")
+
+
+def _words() -> Column:
+    """Of a line: its words by 64-bit hashes."""
+    return F.transform(F.split("said", " "), lambda w: F.xxhash64(w))
 
 
 def _tokens() -> Column:
@@ -59,15 +67,26 @@ def _tokens() -> Column:
     return F.slice(runs, 1, F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)))
 
 
+def _token(i: Column) -> Column:
+    """The i-th of _tokens(): where positions are rows, it's compiled."""
+    return F.xxhash64(*(F.get("words", i + k) for k in range(SHINGLE)))
+
+
 def _least(n: Column) -> Column:
     """Tokens that a line of n shares with any match, at least."""
     return F.ceil(n * SIMILAR - 1e-9).cast("int")
 
 
-def _classes(lines: DataFrame) -> bytearray:
-    each = lines.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
-    token = F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(SHINGLE)))  # as _tokens(), but compiled
-    counted = each.groupBy(F.pmod(token, F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c"))
+def _classes(lines: DataFrame, tokens: Column | None = None) -> bytearray:
+    """Of the lines' tokens, or of the given arrays of them."""
+    if tokens is None:
+        each = lines.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i")).select(_token(F.col("i")).alias("t"))
+    else:
+        each = lines.select(F.explode(tokens).alias("t"))
+    k = each.select(F.pmod("t", F.lit(SKETCH)).cast("int").alias("k"))
+    four = [F.count(F.when(F.col("k").bitwiseAND(3) == j, 1)).alias(f"c{j}") for j in range(4)]  # a row for four counters: Spark's fast map holds 2**16 keys
+    counted = k.groupBy(F.shiftright("k", 2).alias("q")).agg(*four).select("q", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("j", "c"))
+    counted = counted.where("c > 0").select((F.col("q") * 4 + F.col("j")).alias("k"), "c")
     octave = F.least(F.floor(F.log2("c") * 3 + 1e-9), F.lit(127)).cast("int")
     blocks = counted.groupBy(F.shiftright("k", 8)).agg(F.collect_list(F.col("k") * 128 + octave).alias("held"))  # 256 counters a row: a row each takes the driver 100 MB
     out = bytearray(SKETCH)
@@ -78,14 +97,10 @@ def _classes(lines: DataFrame) -> bytearray:
 
 
 def _ordered(classes: bytearray) -> Column:
-    """Distinct tokens, rare classes first: the class above 56 bits of hash."""
-    sketch = F.lit(bytes(classes))
-
-    def keyed(t):
-        bits = F.ascii(F.substring(sketch, F.pmod(t, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(bits.cast("long"), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))
-
-    return F.sort_array(F.array_distinct(F.transform(_tokens(), keyed)))
+    """Of a line's tokens, rare classes first: the class above 56 bits of hash."""
+    sketch = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")  # folded to a constant
+    keyed = lambda t: F.shiftleft(F.get(sketch, t.bitwiseAND(SKETCH - 1)).cast("long"), 56).bitwiseOR(t.bitwiseAND((1 << 56) - 1))
+    return F.sort_array(F.array_distinct(F.transform("tokens", keyed)))
 
 
 def _prefix(n: Column) -> Column:
@@ -111,39 +126,55 @@ def _pairs(x: DataFrame, y: DataFrame, whole: bool) -> DataFrame:
 
 def _matched(stages: Stages, pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key) of the pairs that match, staged."""
-    wanted = small(pairs.select("key").distinct().union(pairs.select(F.col("before").alias("key")).distinct()).distinct(), stages, "wanted")
-    own = stages.put(lines.join(wanted, "key").select("key", F.array_distinct(_tokens()).alias("tokens")), "tokens")
-    a, b = own.select("key", F.col("tokens").alias("ta")), own.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
+    a, b = lines.select("key", F.col("tokens").alias("ta")), lines.select(F.col("key").alias("before"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    out = stages.put(pairs.join(a, "key").join(b, "before").where(both >= SIMILAR * (F.size("ta") + F.size("tb") - both)).select("key").distinct(), "matched")
-    stages.drop(own)
-    return out
+    return stages.put(pairs.join(a, "key").join(b, "before").select("key", F.size("ta").alias("n"), F.size("tb").alias("m"), both.alias("both")).where(F.col("both") >= SIMILAR * (F.col("n") + F.col("m") - F.col("both"))).select("key").distinct(), "matched")
+
+
+def _likely(stages: Stages, once: DataFrame) -> DataFrame:
+    """(key, at, tokens), staged: the lines of which AGREE tokens are others' too, among those that must hold such if any line matches.
+
+    In any order of tokens, the AGREE least that two matching lines have in common lie in the first n - ceil(SIMILAR * n) + AGREE of
+    each (a line of one token has that one). Here the order is by the first word's hash, then any: so many distinct first words
+    hold as many tokens at least, and no token need be sorted. n is bounded by the line's places.
+    """
+    words = once.select("key", _words().alias("words"))
+    starts = F.slice("words", 1, F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)))
+    words = words.select("key", "words", F.size(starts).alias("n"), F.sort_array(F.array_distinct(starts)).alias("firsts"))
+    need, held = F.least(F.lit(AGREE), F.size("firsts")), F.size("firsts")
+    last = F.get("firsts", F.least(F.col("n") - _least(F.col("n")) + need, held) - 1)
+    each = words.select("key", need.cast("byte").alias("need"), last.alias("last"), "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    tokens = each.where(F.get("words", F.col("i")) <= F.col("last")).select("key", "need", _token(F.col("i")).alias("token"))
+    tokens = tokens.withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1")
+    near = small(tokens.groupBy("key", "need").agg(F.count("*").alias("c")).where("c >= need").select("key"), stages, "near")
+    likely = once.join(near, "key").select("key", F.struct("id", "row", "line").alias("at"), _words().alias("words"))
+    return stages.put(likely.select("key", "at", F.array_distinct(_tokens()).alias("tokens")), "likely")
 
 
 def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
     """(row, gone), staged: the places of the lines to remove, for each row that has any."""
-    lines = stages.put(_lines(rows), "lines", DICTIONARY)
+    lines = stages.put(_lines(rows), "lines")
     at = F.struct("id", "row", "line")
-    first = stages.put(lines.groupBy("key").agg(F.min(at).alias("at"), F.max(at).alias("last")), "first")
-    copies = first.where("at <> last").select("key", F.col("at").alias("first"))
-    again = stages.put(lines.select("key", at.alias("own")).join(copies, "key").where("own <> first").select("own.row", "own.line"), "again")
+    several = small(lines.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), stages, "several")
+    copies = stages.put(lines.join(several, "key").select("key", at.alias("own")), "copies")
+    first = copies.groupBy("key").agg(F.min("own").alias("first"))
+    again = stages.put(copies.join(first, "key").where("own <> first").select("own.row", "own.line"), "again")
     once = lines.join(F.broadcast(again) if fits(again) else again, ["row", "line"], "left_anti")
-    tokens = once.select("key", _ordered(_classes(once)).alias("t"))
-    tokens = tokens.select("key", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, F.size("t") - _least(F.size("t")) + 1)).alias("place", "token"))
-    by = Window.partitionBy("token")
-    tokens = tokens.select("token", "key", (F.col("n").cast("long") * (1 << 32) + F.col("place")).alias("np")).withColumn("others", F.count("*").over(by)).where("others > 1")
-    tokens = tokens.select("token", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).cast("int").alias("place"), (F.col("others") > HUB).alias("hub"))
-    shared = stages.put(tokens, "shared")
-    tokens = stages.put(shared.join(first.select("key", "at"), "key"), "tokens")
-    stages.drop(shared)
+    likely = _likely(stages, once)
+    stages.only(again, likely)
+    tokens = likely.select("key", "at", _ordered(_classes(likely, F.col("tokens"))).alias("t"))
+    n = F.size("t")
+    tokens = tokens.select("key", "at", n.alias("n"), F.posexplode(F.slice("t", 1, _prefix(n))).alias("place", "token"))
+    tokens = tokens.withColumn("others", F.count("*").over(Window.partitionBy("token"))).where("others > 1")
+    tokens = stages.put(tokens.select("token", "key", "at", "n", "place", (F.col("others") > HUB).alias("hub")), "tokens")
     hubs = tokens.where("hub")
     earliest = hubs.groupBy("token", F.pmod(F.xxhash64("key"), F.lit(STARS)).alias("star")).agg(F.min(F.struct("at", "key", "n", "place")).alias("e")).select("token", "e.*")
     star = stages.put(_pairs(hubs, earliest, whole=False), "pairs")
-    gone = _matched(stages, star, once)
+    gone = _matched(stages, star, likely)
     rest = stages.put(_pairs(tokens.join(gone, "key", "left_anti"), tokens, whole=True).join(star, ["key", "before"], "left_anti").select("key", "before"), "pairs")
     stages.drop(tokens, star)
-    more = _matched(stages, rest, once)
-    later = again.union(first.join(gone.union(more), "key").select("at.row", "at.line"))
+    more = _matched(stages, rest, likely)
+    later = again.union(likely.select("key", "at").join(gone.union(more), "key").select("at.row", "at.line"))
     out = stages.put(later.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("gone")), "removed")
     stages.only(out)
     return out
@@ -157,8 +188,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = numbered(docs).join(F.broadcast(gone) if fits(gone) else gone, "row", "left")
     text = F.col(f"doc.`{text_col}`")
     lines = F.split(text, "\n")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1  # cheaper than splitting once more
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    done = F.struct(F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    done = F.struct(F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     own = own.select("doc", done.alias("done"))  # before any name of the input is a column again
     kept = [F.col("done.text" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return own.select(*kept, "done.n_lines", "done.n_removed")

@@ -653,3 +653,26 @@ def test_the_sketch_comes_to_the_driver_in_few_rows(spark, monkeypatch):
     for r in collect(lines.select(F.explode(F.transform(line_dedup._tokens(), lambda t: F.pmod(t, F.lit(line_dedup.SKETCH)))).alias("k"))):
         counted[r.k] += 1
     assert list(classes) == [int(np.floor(np.log2(c) * 3 + 1e-9)) if c else 0 for c in counted]
+
+
+def test_only_lines_that_may_match_are_ordered(spark):
+    """Every line that matches another is among the likely ones; lines of their own aren't, and no filter makes a line's words again."""
+    r, texts = random.Random(11), []
+    for k in range(150):
+        w = prose(k, r.choice([1, 2, 4, 5, 6, 9, 30, 60])).split()
+        texts.append(" ".join(w))
+        if k % 3 == 0:
+            for _ in range(r.choice([1, 1, 2])):
+                w[r.choice([0, -1, r.randrange(len(w))])] = r.choice(["x", "y", w[0]])
+            texts.append(" ".join(w))
+    texts += ["a " * n + "a" for n in range(4, 9)] + ["a b " * n + "a" for n in range(2, 6)]
+    texts = sorted(set(texts))
+    rows = line_dedup._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    lines = line_dedup._lines(rows)
+    plan = lines.select("key", line_dedup._words().alias("words"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lambdafunction(") == 1 and "lower" not in "".join(x for x in plan.split("\n") if "Filter" in x)
+    likely = {x.id for x in line_dedup._likely(line_dedup.Stages(spark), lines).select("at.id").collect()}
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) for w in map(str.split, texts)]
+    matching = {i for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and len(s & t) >= 0.75 * len(s | t)}
+    alone = {i for i, s in enumerate(sets) if not any(s & t for j, t in enumerate(sets) if i != j)}
+    assert len(matching) > 20 and matching <= likely and len(alone) > 50 and not {i for i in alone if len(set(sets[i])) > 1 and len(texts[i].split()) == len(set(texts[i].split()))} & likely
