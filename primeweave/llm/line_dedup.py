@@ -4,8 +4,9 @@ A line's tokens are its distinct runs of five words (lower-cased by Unicode's ru
 whose Jaccard similarity is SIMILAR or more match; of matching lines, those that come later (by document id, then row, then
 place) are removed: a line goes if any line before it matches it.
 
-Lines of the same words are joined first, by a hash, and only the first of each goes on. Tokens are ordered by rarity: a sketch of
-SKETCH counters, counted over all lines, gives each its class (three to an octave of its counter), rare classes first, hashes
+Lines of the same words are joined first, by a hash, and only the first of each goes on. Of these, lines that share too few tokens
+of a prefix by plain hashes with any other can't match and are left alone (_likely). Tokens of the others are ordered by rarity: a sketch of
+SKETCH counters, counted over these lines, gives each its class (three to an octave of its counter), rare classes first, hashes
 within. Two
 matching lines of n and m tokens share one in the first n - ceil(SIMILAR * n) + 1 and m - ceil(SIMILAR * m) + 1; so prefixes are
 joined on their tokens, pairs whose lengths or token places can't reach the overlap they need are dropped, and the others
@@ -153,7 +154,7 @@ def _likely(stages: Stages, once: DataFrame) -> DataFrame:
 
 def removed_lines(stages: Stages, rows: DataFrame) -> DataFrame:
     """(row, gone), staged: the places of the lines to remove, for each row that has any."""
-    lines = stages.put(_lines(rows), "lines")
+    lines = stages.put(_lines(rows), "lines", {"compression": "zstd"})  # the largest stage: a third smaller than by snappy
     at = F.struct("id", "row", "line")
     several = small(lines.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), stages, "several")
     copies = stages.put(lines.join(several, "key").select("key", at.alias("own")), "copies")
